@@ -18,12 +18,8 @@ def corpus_size(bags: DataFrame) -> DataFrame:
 
 
 def term_counts(bags: DataFrame) -> DataFrame:
-    """``(doc_id, term, tf)``.
-
-    Whole word arrays are shuffled by document before they are exploded: the
-    counts, and any later step per document, then need no further shuffle.
-    """
-    rows = bags.repartition("doc_id").select("doc_id", F.explode("words").alias("term"))
+    """``(doc_id, term, tf)``; without a shuffle when the bags lie by document."""
+    rows = bags.select("doc_id", F.explode("words").alias("term"))
     return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
@@ -123,7 +119,7 @@ def cooccurrence(bags: DataFrame, vocab: DataFrame, window: int = 5) -> DataFram
     Partners come from ``lead`` columns of one pass per document, and pairs are
     counted unordered before both directions are written out.
     """
-    rows = bags.repartition("doc_id").select("doc_id", F.posexplode("words").alias("pos", "term"))
+    rows = bags.select("doc_id", F.posexplode("words").alias("pos", "term"))
     kept = salted_join(rows, vocab.select("term"), "term", "doc_id", "left_semi")
     order = Window.partitionBy("doc_id").orderBy("pos")
     partners = F.array_compact(F.array(*[F.lead("term", d).over(order) for d in range(1, window + 1)]))

@@ -15,8 +15,18 @@ from .scale import salted_join
 def bags(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stop: Sequence[str] = STOP_WORDS, min_len: int = 1, rule: str = "a", keep: Sequence[str] = (),
+    by_document: bool = True,
 ) -> DataFrame:
-    """``(doc_id, words)``: the words of each document in order, stop words left out."""
+    """``(doc_id, words)``: the words of each document in order, stop words left out.
+
+    The texts are dealt out by document first: a text is several times smaller
+    than its exploded words, and all later steps per document (counts, norms,
+    word windows) then need no further shuffle.  ``by_document=False`` leaves
+    the input as it lies, for work that needs no such grouping.
+    """
+    df = df.select(id_col, text_col, *keep)
+    if by_document:
+        df = df.repartition(id_col)
     normal = T.normalise_a(text_col) if rule == "a" else T.plain_b(text_col)
     words = T.word_array(normal, stop, min_len)
     return df.select(F.col(id_col).alias("doc_id"), *keep, words.alias("words"))
