@@ -14,7 +14,8 @@ HASH_BUCKETS = 4096
 
 
 def salted_join(
-    big: DataFrame, small: DataFrame, key: str, spread: str, how: str = "inner", salts: int = SALTS
+    big: DataFrame, small: DataFrame, key: str | Sequence[str], spread: str, how: str = "inner",
+    salts: int = SALTS,
 ) -> DataFrame:
     """Equi-join on ``key`` where ``big`` may hold very many rows of one key.
 
@@ -24,7 +25,8 @@ def salted_join(
     """
     dealt = big.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread)), F.lit(salts)))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    return dealt.join(repeated, [key, "_salt"], how).drop("_salt")
+    keys = [key] if isinstance(key, str) else list(key)
+    return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def top_k(

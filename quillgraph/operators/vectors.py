@@ -9,8 +9,8 @@ from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import PCA, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+from pyspark.mllib.linalg.distributed import IndexedRowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -158,7 +158,8 @@ def truncated_svd(index: DataFrame, vocab: DataFrame, k: int) -> tuple[DataFrame
 
 def svd_rows(rows: DataFrame, k: int) -> tuple[DataFrame, list[float], DataFrame]:
     """SVD of ``rows(doc_id, features)``; see :func:`truncated_svd`."""
-    matrix = IndexedRowMatrix(rows.rdd.map(lambda r: IndexedRow(r["doc_id"], OldVectors.fromML(r["features"]))))
+    old = MLUtils.convertVectorColumnsFromML(rows, "features")
+    matrix = IndexedRowMatrix(old.select(F.col("doc_id").cast("bigint").alias("index"), F.col("features").alias("vector")))
     found = matrix.computeSVD(k, computeU=True)
     sigma = [float(x) for x in found.s.toArray()]
     u = found.U.rows.map(lambda r: (r.index, [float(a) for a in r.vector.toArray()])).toDF("id bigint, u array<double>")

@@ -3,7 +3,7 @@
 import importlib
 
 # Modules that register queries, in the order they are listed.
-MODULES = ["text", "profiles", "indexes", "searches", "graphs"]
+MODULES = ["text", "profiles", "indexes", "searches", "graphs", "clusters", "rounds", "classes"]
 
 
 def load():

@@ -38,14 +38,13 @@ def local_session(cores: str | int = "*", memory: str = "12g", partitions: int =
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``.  Only
-    a local session without that setting gets a folder of its own; a cluster
-    without it is an error, because a node's own disk would not survive it.
+    Only a local session without that setting gets a folder of its own; a
+    cluster without it is an error, because a node's own disk would not survive
+    the node.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
@@ -54,6 +53,12 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = os.path.join(tempfile.gettempdir(), "quillgraph-checkpoints")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
