@@ -82,7 +82,8 @@ def cluster_indices(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     parts = centre.select(F.posexplode("centroid").alias("i", "x"), "size")
     means = parts.groupBy("i").agg((F.sum(F.col("x") * F.col("size")) / F.sum("size")).alias("m")).agg(
         F.array_sort(F.collect_list(F.struct("i", "m"))).alias("r")).select(F.col("r.m").alias("mean"))
-    scored = table.join(worst, "cluster", "left").withColumn("gap", distance(F.col("centroid"), means.scalar()))
+    scored = table.join(worst, "cluster", "left").withColumn("mean", means.scalar())
+    scored = scored.withColumn("gap", distance(F.col("centroid"), F.col("mean")))
     row = scored.agg(
         F.count("*").alias("clusters"), F.sum("size").alias("n"), F.avg("ratio").alias("davies_bouldin"),
         F.sum(F.col("size") * F.col("gap") * F.col("gap")).alias("between"), F.sum("ss").alias("within"))

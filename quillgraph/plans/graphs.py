@@ -105,7 +105,7 @@ def combined_degrees(spark, folder):
 
 PRUNED = """SELECT src, dst, weight FROM net WHERE (SELECT count(*) FROM net) <= {limit} OR weight >= (SELECT quantile_cont(weight, 0.8) FROM net)"""
 NET = """paper AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS a FROM lineitem),
-net AS (SELECT x.a AS src, y.a AS dst, count(*)::DOUBLE AS weight FROM paper x JOIN paper y ON x.id = y.id AND x.a < y.a GROUP BY ALL),
+net AS MATERIALIZED (SELECT x.a AS src, y.a AS dst, count(*)::DOUBLE AS weight FROM paper x JOIN paper y ON x.id = y.id AND x.a < y.a GROUP BY ALL),
 author AS (SELECT DISTINCT a AS id FROM paper)"""
 
 

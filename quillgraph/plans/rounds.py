@@ -122,10 +122,10 @@ def closeness(spark, folder):
 
 
 def _pagerank_sql(rounds, edges, weight):
-    ctes = [f"""nn AS (SELECT count(*)::DOUBLE AS n FROM node), outw AS (SELECT src, sum({weight})::DOUBLE AS o FROM {edges} GROUP BY src),
+    ctes = [f"""nn AS (SELECT count(*)::DOUBLE AS n FROM node), outw AS MATERIALIZED (SELECT src, sum({weight})::DOUBLE AS o FROM {edges} GROUP BY src),
     r0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM node, nn)"""]
     for i in range(rounds):
-        ctes.append(f"""r{i + 1} AS (SELECT node.id, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(g, 0) + lost / n) AS rank FROM node CROSS JOIN nn
+        ctes.append(f"""r{i + 1} AS MATERIALIZED (SELECT node.id, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(g, 0) + lost / n) AS rank FROM node CROSS JOIN nn
           CROSS JOIN (SELECT coalesce(sum(rank), 0) AS lost FROM r{i} WHERE id NOT IN (SELECT src FROM outw))
           LEFT JOIN (SELECT dst AS id, sum(rank * {weight} / o) AS g FROM {edges} e JOIN outw USING (src) JOIN r{i} ON r{i}.id = e.src GROUP BY dst) USING (id))""")
     return ",\n".join(ctes)
@@ -137,7 +137,7 @@ def pagerank(spark, folder):
     return R.pagerank(part_nodes(spark, folder), links, 10, 0).withColumn("rank", F.round("rank", 9))
 
 
-@query("g21_weighted_pagerank", f"""WITH {NET}, node AS (FROM author), adj AS (SELECT src, dst, weight FROM net UNION ALL SELECT dst, src, weight FROM net),
+@query("g21_weighted_pagerank", f"""WITH {NET}, node AS (FROM author), adj AS MATERIALIZED (SELECT src, dst, weight FROM net UNION ALL SELECT dst, src, weight FROM net),
 {_pagerank_sql(10, 'adj', 'weight')} SELECT id, round(rank, 9) AS rank FROM r10""")
 def weighted_pagerank(spark, folder):
     links = G.adjacency(coauthor_network(spark, folder))
