@@ -227,7 +227,7 @@ def degree_power_law(dist: DataFrame) -> DataFrame:
 def degree_centrality(degree: DataFrame) -> DataFrame:
     """``(id, centrality)``: degree over the number of other nodes."""
     n = degree.agg(F.count("*").cast("double").alias("n"))
-    return degree.select("id", (F.col("degree") / (n.scalar() - 1)).alias("centrality"))
+    return degree.select("id", F.try_divide(F.col("degree"), n.scalar() - 1).alias("centrality"))
 
 
 def hubs(degree: DataFrame, k: int = 10) -> DataFrame:
@@ -249,7 +249,7 @@ def star_graph_size(graph: Graph) -> DataFrame:
     degree = weighted_degrees(graph)
     row = degree.agg(F.count("*").alias("nodes"), F.round(F.sum("degree") / 2, 6).alias("edges"))
     possible = F.col("nodes").cast("double") * (F.col("nodes") - 1)
-    return row.withColumn("density", F.round(F.col("edges") * 2.0 / possible, 9))
+    return row.withColumn("density", F.round(F.try_divide(F.col("edges") * 2.0, possible), 9))
 
 
 # -- subgraphs ----------------------------------------------------------------
@@ -356,7 +356,8 @@ def modularity(graph: Graph, labels: DataFrame) -> DataFrame:
     per = degree.join(labels, "id").groupBy("cluster").agg(F.sum("degree").alias("d"))
     row = per.agg(F.sum("d").alias("two_m"), F.sum(F.col("d") * F.col("d")).alias("squares"))
     two_m = F.col("two_m")
-    return row.select((2.0 * within.scalar() / two_m - F.col("squares") / (two_m * two_m)).alias("modularity"))
+    return row.select((
+        F.try_divide(2.0 * within.scalar(), two_m) - F.try_divide(F.col("squares"), two_m * two_m)).alias("modularity"))
 
 
 # -- tables of features and statistics ----------------------------------------

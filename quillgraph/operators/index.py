@@ -69,7 +69,7 @@ def index_stats(index: DataFrame, vocab: DataFrame, n_docs: DataFrame) -> DataFr
     row = stored.select(
         n_docs.scalar().cast("bigint").alias("documents"), terms.scalar().alias("terms"), "nnz"
     )
-    return row.withColumn("density", F.col("nnz") / (F.col("documents") * F.col("terms")).cast("double"))
+    return row.withColumn("density", F.try_divide(F.col("nnz"), (F.col("documents") * F.col("terms")).cast("double")))
 
 
 def term_ranking(index: DataFrame, k: int, weight: str = "w") -> DataFrame:
@@ -161,7 +161,7 @@ def network_centrality(edges: DataFrame, terms: DataFrame) -> DataFrame:
     ends = edges.select(F.explode(F.array("src", "dst")).alias("term")).groupBy("term").agg(F.count("*").alias("d"))
     n = terms.agg(F.count("*").cast("double").alias("n"))
     joined = terms.join(ends, "term", "left").withColumn("degree", F.coalesce("d", F.lit(0)))
-    return joined.select("term", "degree", (F.col("degree") / (n.scalar() - 1)).alias("centrality"))
+    return joined.select("term", "degree", F.try_divide(F.col("degree"), n.scalar() - 1).alias("centrality"))
 
 
 def collocations(

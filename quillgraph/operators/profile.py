@@ -22,7 +22,7 @@ def field_availability(df: DataFrame) -> DataFrame:
     row = df.agg(F.count("*").alias("_n"), *[F.count(F.col(c)).alias(c) for c in df.columns])
     cells = [
         F.struct(F.lit(c).alias("field"), F.col(c).alias("available"),
-                 F.round(F.col(c) * 100.0 / F.col("_n"), DIGITS).alias("percent"))
+                 F.round(F.try_divide(F.col(c) * 100.0, F.col("_n")), DIGITS).alias("percent"))
         for c in df.columns
     ]
     return _rows(row, cells)

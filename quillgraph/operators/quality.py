@@ -31,6 +31,8 @@ def silhouette(vectors: DataFrame, labels: DataFrame, sample: int = SILHOUETTE_S
         points = lowest_hashes(points, "id", quota, seed)
     local = points.toPandas()
     names = sorted(local["cluster"].unique())
+    if len(names) < 2:  # not defined
+        return points.sparkSession.range(1).select(F.lit(None).cast("double").alias("silhouette"))
     matrix = np.stack(local["vec"].to_numpy()).astype(float)
     member = np.stack([(local["cluster"] == c).to_numpy() for c in names], axis=1).astype(float)
     block = points.sparkSession.sparkContext.broadcast((matrix, member, names))
@@ -77,7 +79,7 @@ def cluster_indices(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     # One row per cluster from here on; each meets the others as one packed array.
     packed = table.agg(F.collect_list(F.struct("cluster", "centroid", "s")).alias("all"))
     met = table.withColumn("o", F.explode(packed.scalar())).where(F.col("o.cluster") != F.col("cluster"))
-    ratio = (F.col("s") + F.col("o.s")) / distance(F.col("centroid"), F.col("o.centroid"))
+    ratio = F.try_divide(F.col("s") + F.col("o.s"), distance(F.col("centroid"), F.col("o.centroid")))
     worst = met.groupBy("cluster").agg(F.max(ratio).alias("ratio"))
     parts = centre.select(F.posexplode("centroid").alias("i", "x"), "size")
     means = parts.groupBy("i").agg((F.sum(F.col("x") * F.col("size")) / F.sum("size")).alias("m")).agg(
@@ -88,8 +90,8 @@ def cluster_indices(vectors: DataFrame, labels: DataFrame) -> DataFrame:
         F.count("*").alias("clusters"), F.sum("size").alias("n"), F.avg("ratio").alias("davies_bouldin"),
         F.sum(F.col("size") * F.col("gap") * F.col("gap")).alias("between"), F.sum("ss").alias("within"))
     k, n = F.col("clusters"), F.col("n")
-    return row.select("clusters", "davies_bouldin", (
-        F.col("between") / (k - 1) / (F.col("within") / (n - k))).alias("calinski_harabasz"))
+    spread_ratio = F.try_divide(F.try_divide(F.col("between"), k - 1), F.try_divide(F.col("within"), n - k))
+    return row.select("clusters", "davies_bouldin", spread_ratio.alias("calinski_harabasz"))
 
 
 def compare_runs(vectors: DataFrame, runs: dict[str, DataFrame], sample: int = SILHOUETTE_SAMPLE) -> DataFrame:
@@ -198,7 +200,7 @@ def _agreement(cells: DataFrame) -> DataFrame:
 
 def _ari():
     total = F.col("n") * (F.col("n") - 1) / 2.0
-    expected = F.col("ra.p") * F.col("cb.p") / total
+    expected = F.coalesce(F.try_divide(F.col("ra.p") * F.col("cb.p"), total), F.lit(0.0))
     top = (F.col("ra.p") + F.col("cb.p")) / 2.0
     return F.when(top == expected, 1.0).otherwise((F.col("p") - expected) / (top - expected))
 
