@@ -27,10 +27,17 @@ class Graph(NamedTuple):
 # -- building -----------------------------------------------------------------
 
 
-def memberships(df: DataFrame, list_col: str, prefix: str) -> DataFrame:
-    """``(hub, id)``: each distinct entry of an array column with its article."""
-    rows = df.select("id", F.explode(F.array_distinct(list_col)).alias("x")).where("x IS NOT NULL")
-    return rows.select(F.concat(F.lit(prefix), F.col("x").cast("string")).alias("hub"), "id")
+def memberships(df: DataFrame, list_col: str, kind: str | None = None) -> DataFrame:
+    """``(hub, id)``: each distinct entry of an array column with its article.
+
+    ``kind`` is put before the hub where hubs of several kinds share a table.
+    """
+    rows = df.select("id", F.explode_outer(F.array_distinct(list_col)).alias("hub")).where("hub IS NOT NULL")
+    return rows.select("hub", "id") if kind is None else named_hubs(rows, kind)
+
+
+def named_hubs(members: DataFrame, kind: str) -> DataFrame:
+    return members.select(F.concat(F.lit(f"{kind}:"), F.col("hub").cast("string")).alias("hub"), "id")
 
 
 def venue_memberships(df: DataFrame, venue: str = "venue") -> DataFrame:
@@ -65,7 +72,7 @@ def author_graph(df: DataFrame, authors: str = "authors") -> Graph:
     The stars count a pair once per shared author; listed corrections take the
     repeats off again for pairs with two or more.
     """
-    members = memberships(df, authors, "author:")
+    members = memberships(df, authors)
     repeats = shared_pairs(members).select("src", "dst", (F.lit(1.0) - F.col("shared")).alias("weight"))
     return Graph(df.select("id"), repeats, members.withColumn("weight", F.lit(1.0)))
 
@@ -85,7 +92,7 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def coupling_edges(df: DataFrame, threshold: int = 2, references: str = "references") -> DataFrame:
     """``(src, dst, weight)``: articles with at least ``threshold`` references in common."""
-    pairs = shared_pairs(memberships(df, references, "reference:"), threshold)
+    pairs = shared_pairs(memberships(df, references), threshold)
     return pairs.select("src", "dst", F.col("shared").cast("double").alias("weight"))
 
 
@@ -113,10 +120,10 @@ def combined_graph(
     with what they have too much taken off.
     """
     per_reference = weights["reference"] / REFERENCE_CEILING
-    refs = memberships(df, references, "reference:")
+    refs = memberships(df, references)
     stars = (
-        memberships(df, authors, "author:").withColumn("weight", F.lit(weights["author"]))
-        .unionByName(refs.withColumn("weight", F.lit(per_reference)))
+        memberships(df, authors, "author").withColumn("weight", F.lit(weights["author"]))
+        .unionByName(named_hubs(refs, "reference").withColumn("weight", F.lit(per_reference)))
         .unionByName(venue_memberships(df, venue).withColumn("weight", F.lit(weights["venue"])))
     )
     cited = citation_edges(df, references).select(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scale import salted_join, top_k
-from .tokens import bigrams
+from .tokens import bigrams, tokens, words
 
 
 def corpus_size(bags: DataFrame) -> DataFrame:
@@ -19,8 +19,7 @@ def corpus_size(bags: DataFrame) -> DataFrame:
 
 def term_counts(bags: DataFrame) -> DataFrame:
     """``(doc_id, term, tf)``; without a shuffle when the bags lie by document."""
-    rows = bags.select("doc_id", F.explode("words").alias("term"))
-    return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return words(bags, "doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(
@@ -81,7 +80,7 @@ def term_ranking(index: DataFrame, k: int, weight: str = "w") -> DataFrame:
 
 def token_totals(bags: DataFrame) -> DataFrame:
     """One row: all occurrences and distinct terms."""
-    counts = bags.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    counts = words(bags).groupBy("term").agg(F.count("*").alias("n"))
     return counts.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("occurrences"), F.count("*").alias("unique_terms")
     )
@@ -119,8 +118,7 @@ def cooccurrence(bags: DataFrame, vocab: DataFrame, window: int = 5) -> DataFram
     Partners come from ``lead`` columns of one pass per document, and pairs are
     counted unordered before both directions are written out.
     """
-    rows = bags.select("doc_id", F.posexplode("words").alias("pos", "term"))
-    kept = salted_join(rows, vocab.select("term"), "term", "doc_id", "left_semi")
+    kept = salted_join(tokens(bags), vocab.select("term"), "term", "doc_id", "left_semi")
     order = Window.partitionBy("doc_id").orderBy("pos")
     partners = F.array_compact(F.array(*[F.lead("term", d).over(order) for d in range(1, window + 1)]))
     pairs = kept.select("term", partners.alias("partners")).select("term", F.explode("partners").alias("other"))
@@ -177,14 +175,14 @@ def collocations(
         bags, group = with_labels(bags, labels), ["cluster"]
     pairs = bigrams(bags, group).groupBy(*group, "first", "second").agg(F.count("*").alias("freq"))
     pairs = pairs.where(F.col("freq") >= min_freq)
-    words = bags.select(*group, F.explode("words").alias("term")).groupBy(*group, "term").agg(F.count("*").alias("n"))
-    left = words.withColumnRenamed("term", "first").withColumnRenamed("n", "n_first")
-    right = words.withColumnRenamed("term", "second").withColumnRenamed("n", "n_second")
+    single = words(bags, *group).groupBy(*group, "term").agg(F.count("*").alias("n"))
+    left = single.withColumnRenamed("term", "first").withColumnRenamed("n", "n_first")
+    right = single.withColumnRenamed("term", "second").withColumnRenamed("n", "n_second")
     scored = pairs.join(left, [*group, "first"]).join(right, [*group, "second"])
     if group:
-        scored = salted_join(scored, words.groupBy("cluster").agg(F.sum("n").alias("total")), "cluster", "first")
+        scored = salted_join(scored, single.groupBy("cluster").agg(F.sum("n").alias("total")), "cluster", "first")
     else:
-        scored = scored.withColumn("total", words.agg(F.sum("n").alias("total")).scalar())
+        scored = scored.withColumn("total", single.agg(F.sum("n").alias("total")).scalar())
     pmi = F.log2(
         F.col("freq").cast("double") * F.col("total") / (F.col("n_first").cast("double") * F.col("n_second"))
     )
@@ -196,10 +194,11 @@ def collocations(
 def discriminative_terms(index: DataFrame, labels: DataFrame, k: int, weight: str = "w") -> DataFrame:
     """Per cluster, terms whose mean weight inside is largest against the mean outside."""
     inside = with_labels(index, labels).groupBy("cluster", "term").agg(F.sum(weight).cast("double").alias("s_in"))
-    overall = inside.groupBy("term").agg(F.sum("s_in").alias("s_all"))
+    # A term has at most one row per cluster here, so its window is small.
+    inside = inside.withColumn("s_all", F.sum("s_in").over(Window.partitionBy("term")))
     sizes = cluster_sizes_of(labels)
     total = sizes.agg(F.sum("size").alias("total"))
-    joined = salted_join(inside.join(overall, "term"), sizes, "cluster", "term")
+    joined = salted_join(inside, sizes, "cluster", "term")
     outside = F.greatest(total.scalar() - F.col("size"), F.lit(1))
     mean_in = F.col("s_in") / F.greatest("size", F.lit(1))
     # A term of one cluster only leaves nothing outside; the difference is taken as exactly 0 there.

@@ -32,9 +32,20 @@ def bags(
     return df.select(F.col(id_col).alias("doc_id"), *keep, words.alias("words"))
 
 
+def words(bags: DataFrame, *keep: str) -> DataFrame:
+    """``(*keep, term)``, one row per word.
+
+    The outer form is deliberate: the inner one makes Spark test for empty
+    arrays first, and it pushes that test, with the whole text treatment in it,
+    below the shuffle into the scan.
+    """
+    return bags.select(*keep, F.explode_outer("words").alias("term")).where("term IS NOT NULL")
+
+
 def tokens(bags: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """``(doc_id, pos, term)``, one row per word, ``pos`` from 0."""
-    return bags.select("doc_id", *keep, F.posexplode("words").alias("pos", "term"))
+    rows = bags.select("doc_id", *keep, F.posexplode_outer("words").alias("pos", "term"))
+    return rows.where("term IS NOT NULL")
 
 
 def to_bags(tokens: DataFrame) -> DataFrame:
@@ -82,7 +93,7 @@ def ngrams(bags: DataFrame, lo: int = 1, hi: int = 2, keep: Sequence[str] = ())
     for n in range(lo, hi + 1):
         count = F.greatest(size - (n - 1), F.lit(0))
         shifted = F.arrays_zip(*[F.slice("words", i + 1, count).alias(f"w{i}") for i in range(n)])
-        rows = bags.select("doc_id", *keep, F.posexplode(shifted).alias("pos", "w"))
+        rows = bags.select("doc_id", *keep, F.posexplode_outer(shifted).alias("pos", "w")).where("w IS NOT NULL")
         term = F.concat_ws(" ", *[F.col(f"w.w{i}") for i in range(n)])
         runs.append(rows.select("doc_id", *keep, "pos", F.lit(n).alias("n"), term.alias("term")))
     out = runs[0]
@@ -95,6 +106,6 @@ def bigrams(bags: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """``(doc_id, first, second)`` for neighbouring words."""
     count = F.greatest(F.size("words") - 1, F.lit(0))
     pairs = F.arrays_zip(F.slice("words", 1, count).alias("first"), F.slice("words", 2, count).alias("second"))
-    return bags.select("doc_id", *keep, F.explode(pairs).alias("p")).select(
+    return bags.select("doc_id", *keep, F.explode_outer(pairs).alias("p")).where("p IS NOT NULL").select(
         "doc_id", *keep, F.col("p.first").alias("first"), F.col("p.second").alias("second")
     )

@@ -10,6 +10,7 @@ from ..operators import clustering as C
 from ..operators import index as I
 from ..operators import profile as P
 from ..operators import quality as U
+from ..operators import tokens as K
 from ..operators import vectors as V
 from ..session import cut, shared_folder
 from ..sources import articles as S
@@ -242,7 +243,7 @@ best AS (SELECT cluster, arg_max(topic, (share, -topic)) AS topic FROM ct GROUP
 tt AS (SELECT topic, term, row_number() OVER (PARTITION BY topic ORDER BY n DESC, term)::INT AS rank FROM words)
 SELECT cluster, topic, rank, term FROM best JOIN tt USING (topic) WHERE rank <= 5""")
 def cluster_topic_terms(spark, folder):
-    words = document_bags(spark, folder).select(F.explode("words").alias("term")).groupBy(
+    words = K.words(document_bags(spark, folder)).groupBy(
         F.least(F.length("term"), F.lit(8)).alias("topic"), "term").agg(F.count("*").alias("n"))
     ranked = I.top_k(words, ["topic"], [F.desc("n"), F.asc("term")], 5)
     return U.cluster_topic_terms(length_topics(spark, folder), ranked, given_labels(spark, folder), 5)

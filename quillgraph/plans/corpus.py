@@ -54,7 +54,7 @@ VEC_SQL = "vec AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM emb
 
 def length_topics(spark: SparkSession, folder: str) -> DataFrame:
     """A given document-topic matrix that needs no model: share of words by length, 8 and more as one."""
-    words = document_bags(spark, folder).select("doc_id", F.explode("words").alias("term"))
+    words = K.words(document_bags(spark, folder), "doc_id")
     n = words.groupBy("doc_id", F.least(F.length("term"), F.lit(8)).alias("topic")).agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy("doc_id"))
     return n.select("doc_id", "topic", (F.col("n") / total).alias("p"))

@@ -74,7 +74,7 @@ def author_graph_size(spark, folder):
 
 @query("g1_repeated_coauthors", f"WITH {WORLD} SELECT * FROM auth_pair WHERE shared >= 2")
 def repeated_coauthors(spark, folder):
-    return G.shared_pairs(G.memberships(part_articles(spark, folder), "authors", "author:"), 2)
+    return G.shared_pairs(G.memberships(part_articles(spark, folder), "authors"), 2)
 
 
 @query("g2_citation_edges", f"WITH {WORLD} SELECT src, dst FROM cite")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import profile as P
+from ..operators import tokens as K
 from . import sql as Q
 from .corpus import GIVEN_SQL, document_bags, documents, given_labels
 from .registry import query, table
@@ -93,7 +94,7 @@ def author_histogram(spark, folder):
 x AS (SELECT ln(1 + n) AS v FROM c)
 SELECT least(50, floor((least(greatest(v, 0), 12) - 0) / 12 * 50) + 1)::INT AS bin, count(*) AS n FROM x GROUP BY 1""")
 def term_frequency_histogram(spark, folder):
-    words = document_bags(spark, folder).select(F.explode("words").alias("term"))
+    words = K.words(document_bags(spark, folder))
     counts = words.groupBy("term").agg(F.count("*").alias("n"))
     return P.histogram(counts, F.log(F.lit(1.0) + F.col("n")), 0, 12, 50)
 
