@@ -15,6 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .scale import exact_percentiles, salted_join, top_k
 
 
@@ -24,6 +25,11 @@ class Graph(NamedTuple):
     stars: DataFrame | None = None
 
 
+def stored(graph: Graph) -> Graph:
+    """The graph with its tables written once, for work that reads them several times."""
+    return Graph(*[None if table is None else cut(table) for table in graph])
+
+
 # -- building -----------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .scale import salted_join, top_k
 from .tokens import bigrams, tokens, words
 
@@ -52,13 +53,18 @@ def tfidf_index(
 
 def build_index(
     bags: DataFrame, min_df: int = 1, max_df: float = 1.0, max_features: int | None = None,
-    use_idf: bool = True,
+    use_idf: bool = True, stored: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(index, vocabulary, corpus size)`` of a bag table."""
+    """``(index, vocabulary, corpus size)`` of a bag table.
+
+    The vocabulary is written once, since index and queries both read it.  With
+    ``stored`` the index is written too, for work that reads it several times.
+    """
     counts = term_counts(bags)
     n = corpus_size(bags)
-    vocab = vocabulary(counts, n, min_df, max_df, max_features)
-    return tfidf_index(counts, vocab, n, use_idf), vocab, n
+    vocab = cut(vocabulary(counts, n, min_df, max_df, max_features))
+    index = tfidf_index(counts, vocab, n, use_idf)
+    return cut(index) if stored else index, vocab, n
 
 
 def index_stats(index: DataFrame, vocab: DataFrame, n_docs: DataFrame) -> DataFrame:

@@ -145,7 +145,7 @@ def pca(spark, folder):
 @query("v8_truncated_svd")
 def truncated_svd(spark, folder):
     index, vocab, _ = document_index(spark, folder)
-    return V.truncated_svd(cut(index), cut(vocab), 20)[0]
+    return V.truncated_svd(index, vocab, 20)[0]
 
 
 @query("q7_encode")
@@ -264,7 +264,7 @@ def _central(index="idx"):
 
 @query("c12_central_documents", f"WITH {Q.index()}, {GIVEN_SQL}, {_central()} SELECT * FROM central")
 def central_documents(spark, folder):
-    return U.central_documents(document_index(spark, folder)[0], given_labels(spark, folder), 5)
+    return U.central_documents(document_index(spark, folder, stored=True)[0], given_labels(spark, folder), 5)
 
 
 REFIT = """refit_raw AS (SELECT doc_id, term, tf, tf * (ln((1.0 + size)::DOUBLE / (1.0 + df)::DOUBLE) + 1.0::DOUBLE) AS raw FROM tf JOIN lab USING (doc_id) JOIN cv USING (cluster, term)),
@@ -275,7 +275,7 @@ refit AS (SELECT doc_id, term, tf, raw / sqrt(sum(raw * raw) OVER (PARTITION BY
 def refitted_central_documents(spark, folder):
     labels = given_labels(spark, folder)
     counts = I.term_counts(document_bags(spark, folder))
-    return U.central_documents(U.refitted_index(counts, labels, 5, 0.9), labels, 5)
+    return U.central_documents(cut(U.refitted_index(counts, labels, 5, 0.9)), labels, 5)
 
 
 @query("c14_topic_central_documents", f"""WITH {CLUSTER_TOPIC}, x AS (SELECT cluster, doc_id, topic, round(p, 6) AS p FROM tp JOIN lab USING (doc_id) JOIN best USING (cluster, topic))
@@ -287,7 +287,7 @@ def topic_central_documents(spark, folder):
 @query("c15_svd_kmeans")
 def svd_kmeans(spark, folder):
     index, vocab, _ = document_index(spark, folder)
-    return C.svd_kmeans(cut(index), cut(vocab), 20, 8, 42, 1)
+    return C.svd_kmeans(index, vocab, 20, 8, 42, 1)
 
 
 @query("c16_spectral")
@@ -364,7 +364,7 @@ def report(spark, folder):
     labels = given_labels(spark, folder)
     bags = document_bags(spark, folder)
     counts = I.term_counts(bags)
-    index, _, _ = document_index(spark, folder, 5, 0.9)
+    index, _, _ = document_index(spark, folder, 5, 0.9, stored=True)
     return cluster_report(
         P.cluster_sizes(labels), I.cluster_terms(counts, labels, 2, 0.95, 10),
         I.discriminative_terms(index, labels, 10), I.collocations(bags, 3, 5, labels),
@@ -378,8 +378,7 @@ SELECT 'labels' AS part, cluster, count(*) AS n FROM lab GROUP BY cluster UNION
 UNION ALL SELECT 'central_documents', cluster, count(*) FROM central GROUP BY cluster""")
 def save_cluster_analysis(spark, folder):
     path = new_table(spark)
-    labels, (index, _, _) = given_labels(spark, folder), document_index(spark, folder)
-    index = cut(index)
+    labels, (index, _, _) = given_labels(spark, folder), document_index(spark, folder, stored=True)
     S.save_cluster_analysis(path, labels, U.cluster_top_terms(index, labels, 10), U.central_documents(index, labels, 5))
     out = None
     for part in ("labels", "top_terms", "central_documents"):

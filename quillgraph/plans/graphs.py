@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..session import cut
 from .registry import query, table
 
 
@@ -61,14 +62,14 @@ def ends(source, weight="1"):
 
 @query("g1_author_degrees", f"WITH {WORLD} SELECT node.id, coalesce(d, 0) AS degree FROM node LEFT JOIN {ends('auth_pair')} USING (id)")
 def author_degrees(spark, folder):
-    degree = G.weighted_degrees(G.author_graph(part_articles(spark, folder)))
+    degree = G.weighted_degrees(G.author_graph(cut(part_articles(spark, folder))))
     return degree.withColumn("degree", F.round("degree").cast("bigint"))
 
 
 @query("g1_author_graph_size", f"""WITH {WORLD}, s AS (SELECT (SELECT count(*) FROM node) AS nodes, count(*) AS edges FROM auth_pair)
 SELECT nodes, edges, round(edges * 2.0::DOUBLE / (nodes::DOUBLE * (nodes - 1)), 9) AS density FROM s""")
 def author_graph_size(spark, folder):
-    size = G.star_graph_size(G.author_graph(part_articles(spark, folder)))
+    size = G.star_graph_size(G.author_graph(cut(part_articles(spark, folder))))
     return size.withColumn("edges", F.col("edges").cast("bigint"))
 
 
@@ -99,7 +100,7 @@ def venue_degrees(spark, folder):
 
 @query("g6_combined_degrees", f"WITH {WORLD} SELECT node.id, round(coalesce(w, 0), 6) AS degree FROM node LEFT JOIN {ends('comb', 'weight')} USING (id)")
 def combined_degrees(spark, folder):
-    degree = G.weighted_degrees(G.combined_graph(part_articles(spark, folder)))
+    degree = G.weighted_degrees(G.combined_graph(cut(part_articles(spark, folder))))
     return degree.withColumn("degree", F.round("degree", 6))
 
 
@@ -183,7 +184,7 @@ def hubs(spark, folder):
 @query("g16_top_degree_subgraph", f"""WITH {WORLD}, top AS (SELECT id FROM (SELECT node.id, round(coalesce(w, 0), 6) AS w FROM node LEFT JOIN {ends('comb', 'weight')} USING (id)) ORDER BY w DESC, id LIMIT 100)
 SELECT src, dst, round(weight, 6) AS weight FROM comb WHERE src IN (FROM top) AND dst IN (FROM top)""")
 def top_degree_subgraph(spark, folder):
-    graph = G.combined_graph(part_articles(spark, folder))
+    graph = G.stored(G.combined_graph(cut(part_articles(spark, folder))))
     ids = G.weighted_degrees(graph).orderBy(F.desc(F.round("degree", 6)), "id").limit(100).select("id")
     return G.edges_among(graph, ids, 100).withColumn("weight", F.round("weight", 6))
 
@@ -230,7 +231,7 @@ def _modularity_sql(source, weight):
 
 @query("g23_modularity", f"WITH {WORLD}, {_modularity_sql('comb', 'weight')}")
 def modularity(spark, folder):
-    graph = G.combined_graph(part_articles(spark, folder))
+    graph = G.stored(G.combined_graph(cut(part_articles(spark, folder))))
     return G.modularity(graph, brand_labels(spark, folder)).withColumn("modularity", F.round("modularity", 6))
 
 

@@ -55,7 +55,7 @@ ALL_SCORES = """s AS (SELECT b.item_id AS query_id, d.doc_id, round(coalesce(sum
 
 @query("q1_search_filled", f"WITH {BASE}, {ALL_SCORES}, {ranked_sql('s', 10, 'r')} SELECT * FROM r")
 def search_filled(spark, folder):
-    index, vocab, n = document_index(spark, folder)
+    index, vocab, n = document_index(spark, folder, stored=True)
     return R.search(index, query_table(spark, folder, vocab, n), 10, documents=documents(spark, folder))
 
 
@@ -69,7 +69,7 @@ s AS (SELECT b.query_id, d.doc_id,
 
 @query("q2_search_euclidean", f"WITH {BASE}, {EUCLIDEAN}, {ranked_sql('s', 10, 'r')} SELECT * FROM r")
 def search_euclidean(spark, folder):
-    index, vocab, n = document_index(spark, folder)
+    index, vocab, n = document_index(spark, folder, stored=True)
     queries = query_table(spark, folder, vocab, n)
     return R.search(index, queries, 10, "euclidean", documents(spark, folder))
 
@@ -80,7 +80,7 @@ p AS (SELECT r.query_id, r.doc_id, q.term, round(q.w, 6) AS query_weight, round(
 SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY contribution DESC, term)::INT AS rank,
   term, query_weight, document_weight, contribution FROM p QUALIFY rank <= 10""")
 def explain(spark, folder):
-    index, vocab, n = document_index(spark, folder)
+    index, vocab, n = document_index(spark, folder, stored=True)
     queries = query_table(spark, folder, vocab, n)
     return R.explain(index, queries, R.search(index, queries, 3), 10)
 
@@ -108,7 +108,7 @@ def _config_index(spark, folder, name):
     options, use_idf, stop, metric = CONFIGS[name]
     extra = {} if stop else {"stop": ()}
     bags = document_bags(spark, folder, **extra)
-    index, vocab, n = I.build_index(bags, 5, 0.95, use_idf=use_idf, **options)
+    index, vocab, n = I.build_index(bags, 5, 0.95, use_idf=use_idf, stored=metric != "cosine", **options)
     return index, vocab, query_table(spark, folder, vocab, n, use_idf, **extra), metric
 
 
@@ -244,7 +244,7 @@ def term_lookup(spark, folder):
 WHERE term <> '{TERM}' AND doc_id IN (SELECT doc_id FROM idx WHERE term = '{TERM}' AND w > 0) GROUP BY term)
 SELECT *, row_number() OVER (ORDER BY weight DESC, term)::INT AS rank FROM t ORDER BY rank LIMIT 20""")
 def cooccurring_terms(spark, folder):
-    return R.cooccurring_terms(document_index(spark, folder)[0], TERM, 20)
+    return R.cooccurring_terms(document_index(spark, folder, stored=True)[0], TERM, 20)
 
 
 @query("q15_term_by_cluster", f"""WITH {INDEXED}, {GIVEN_SQL}, hit AS (SELECT doc_id, w FROM idx WHERE term = '{TERM}')

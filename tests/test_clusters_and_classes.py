@@ -66,7 +66,7 @@ def brute_dbscan(matrix, eps, least):
     return label.tolist()
 
 
-@pytest.mark.parametrize("block", [20, 2000])
+@pytest.mark.parametrize("block", [60, 2000])
 def test_dbscan_against_brute_force(spark, block):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(4, 6))
@@ -102,7 +102,7 @@ def test_svd_matches_numpy(spark):
     rng = np.random.default_rng(3)
     dense = rng.random((30, 12)) * (rng.random((30, 12)) < 0.4)
     index = spark.createDataFrame(
-        [(i, f"t{j:02d}", float(dense[i, j])) for i, j in zip(*np.nonzero(dense))], "doc_id bigint, term string, w double")
+        [(int(i), f"t{j:02d}", float(dense[i, j])) for i, j in zip(*np.nonzero(dense))], "doc_id bigint, term string, w double")
     vectors, sigma, _ = V.truncated_svd(index, index.select("term").distinct(), 4)
     assert sigma == pytest.approx(np.linalg.svd(dense, compute_uv=False)[:4].tolist(), rel=1e-6)
     lengths = np.sqrt(sum(np.array(r["vec"]) ** 2 for r in vectors.collect()))
