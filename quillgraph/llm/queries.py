@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, shards, simhash, toxicity, urls
+from . import bpe, decontaminate, language, lattice, pii, shards, simhash, toxicity, urls
 from .words import fold
 
 QUERIES = {}
@@ -68,3 +68,24 @@ def op10(spark, folder):
     model = toxicity.fit(docs, labels.where(~held_out))
     rows = toxicity.score(docs.select("doc_id", "text"), model)
     return rows.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op1_decontamination")
+def op1(spark, folder):
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op5_pii")
+def op5(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rows = pii.find(docs, pii.fit(docs)).select("doc_id", "spans")
+    base = F.filter("spans", lambda s: s["base"])
+    of = lambda kind: F.filter(base, lambda s: s["kind"] == kind)
+    count = [F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return rows.select("doc_id", *count, F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+
+
+@query("op7_embedding_lattice")
+def op7(spark, folder):
+    return lattice.near_vectors(table(spark, folder, "embeddings"))
