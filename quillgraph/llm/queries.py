@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, lattice, pii, shards, simhash, toxicity, urls
+from . import bpe, decontaminate, language, lattice, lm, pii, shards, simhash, toxicity, urls
 from .words import fold
 
 QUERIES = {}
@@ -89,3 +89,10 @@ def op5(spark, folder):
 @query("op7_embedding_lattice")
 def op7(spark, folder):
     return lattice.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op3_lm_scoring")
+def op3(spark, folder):
+    docs = table(spark, folder, "documents")
+    rows = lm.score(docs, fold("doc_id", 7) != 2)
+    return rows.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
