@@ -19,6 +19,7 @@ SPACES[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SYMBOLS = np.random.default_rng(20).integers(0, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+SLICE = 3000  # rows that a task turns into results at a time
 STEP = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -130,7 +131,7 @@ def added(df: DataFrame, columns: list[str], fields: list[T.StructField], make:
 
     def run(batches):
         work = make()
-        for batch in batches:
+        for batch in (whole.slice(a, SLICE) for whole in batches for a in range(0, whole.num_rows, SLICE)):
             done = work(*[batch.column(len(kept) + i) for i in range(len(inputs))])
             arrays = [batch.column(i) for i in range(len(kept))] + list(done)
             yield pa.RecordBatch.from_arrays(arrays, names=kept + [f.name for f in fields])
