@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-BORDERS = 1 << 17   # group borders that the driver holds at a time
+BORDERS = 1 << 17   # pieces, each with two group borders, that the driver looks at in one step
 
 
 def _greedy(borders: np.ndarray, whole: np.ndarray, capacity: int, shards: int, hopeful: bool) -> int:
@@ -68,8 +68,11 @@ def smallest_capacity(ends: DataFrame, total: int, shards: int) -> tuple[int, np
         spans = ends.sparkSession.createDataFrame(zones, "low bigint, high bigint")
         inside = ends.join(F.broadcast(spans), (F.col("end") > F.col("low")) & (F.col("end") <= F.col("high")))
         piece = F.floor((F.col("end") - F.col("low") - 1) * F.lit(float(pieces)) / (F.col("high") - F.col("low")))
-        found = inside.groupBy("low", piece.alias("piece")).agg(F.max("end").alias("end"), F.count("*").alias("n")).collect()
-        known.update({r["end"]: r["n"] == 1 for r in found})
+        found = inside.groupBy("low", piece.alias("piece")).agg(
+            F.min("end").alias("first"), F.max("end").alias("last"), F.count("*").alias("n")).collect()
+        for r in found:  # nothing ends between the last border of a piece and the first of the next
+            known[r["last"]] = r["n"] <= 2
+            known[r["first"]] = True
         borders = np.array(sorted(known), np.int64)
         whole = np.array([known[int(b)] for b in borders])
         low, high = (_smallest(borders, whole, shards, hopeful) for hopeful in (True, False))

@@ -207,10 +207,12 @@ def test_urls(spark):
 
 
 def test_trees_learn_a_pattern(spark):
-    rows = [(i, f"http://h{i % 90}.com/page/{i}" if i % 2 else f"http://spam{i}{i * 7919}.net/fr/{i}?a={i}&b={i}&c=1") for i in range(800)]
-    rows += [(10_000 + i, f"http://h{i}.org/page/{i}") for i in range(20)] + [(20_000 + i, f"http://spam{i}{i * 7919}.org/fr/{i}?a={i}&b={i}&c=1") for i in range(20)]
-    found = urls.verdicts(spark.createDataFrame(rows, "page_id bigint, url string")).where("rule IS NULL").toPandas()
-    assert (found.verdict == found.page_id.map(lambda i: "allow" if i < 20_000 else "block")).mean() > 0.9
+    rules = [("allow", "site.com", "/page/"), ("block", "site.com", "/fr/")]  # one suffix, so that only the form tells
+    good, bad = "http://h%d.%s/page/%d", "http://h%d.%s/fr/%d?a=1&b=2&c=3"
+    rows = [(i, (good if i % 2 else bad) % (i % 90, "site.com", i)) for i in range(800)]
+    rows += [(10_000 + i, (good if i % 2 else bad) % (i, "other.org", i)) for i in range(40)]
+    found = urls.verdicts(spark.createDataFrame(rows, "page_id bigint, url string"), rules).where("rule IS NULL").toPandas()
+    assert len(found) == 40 and (found.verdict == found.page_id.map(lambda i: "allow" if i % 2 else "block")).all()
 
 
 def test_pipeline(spark, docs, edge, none, tmp_path):
