@@ -353,7 +353,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> dict | Non
         for piece, own_spans in [(r["piece"], spans)] + ([_varied(r["piece"], spans, rng)] if spans else []):
             pieces.append(piece[:WINDOW])
             tags.append(tagged(own_spans, 0))
-    return train(encoded(pieces), np.array(tags))
+    return train(encoded(pieces), np.array(tags), rounds=max(6, -(-200 * 64 // len(pieces))))  # 200 steps or more
 
 
 SPAN = T.StructType([T.StructField("kind", T.StringType(), False), T.StructField("start", T.IntegerType(), False),

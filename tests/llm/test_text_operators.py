@@ -186,7 +186,7 @@ def test_pii(spark, docs, edge, none, clash):
         listed = [f"{k}:{a}:{b}" for k, a, b in slow]
         assert own.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest() and set(listed) <= set(own.spans.split(","))
         assert [own[f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in slow) for k in pii.KINDS]
-    model = pii.fit(docs)
+    model = pii.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
     added = pii.spans_of(["write to bob.24 (at) mail4.example.com or call (266) 555-7228 today", "born 1984, room 12, 24be64439e3e49cf46b2d7c90f", LOREM], model)
     assert {k for k, *_ in added[0]} & {0, 3} and not added[1] and not added[2]
     assert pii.find(clash, model).where("spans IS NULL").isEmpty() and pii.find(none, model).isEmpty()
