@@ -169,12 +169,10 @@ def author_papers(papers: DataFrame, authors: str = "authors") -> DataFrame:
     return papers.select(F.explode(F.array_distinct(authors)).alias("author"), "id")
 
 
-def prune_edges(edges: DataFrame, max_edges: int = 100_000, q: float = 0.8) -> DataFrame:
-    """Above ``max_edges`` edges, drop those lighter than the ``q`` percentile of the weights."""
-    size = edges.agg(F.count("*").alias("m"))
+def prune_edges(edges: DataFrame, q: float = 0.8) -> DataFrame:
+    """Edges no lighter than the ``q`` percentile of the weights; whether a graph is pruned is the caller's choice."""
     mark = exact_percentiles(edges, ["weight"], [q]).agg(F.max("value").alias("v"))
-    many = size.scalar() > max_edges
-    return edges.where(~many | (F.col("weight") >= mark.scalar()))
+    return edges.where(F.col("weight") >= mark.scalar())
 
 
 # -- degrees and sizes --------------------------------------------------------

@@ -142,13 +142,15 @@ def hybrid_search(
     The ``3k`` best by text are candidates; each with a node vector gains
     ``(1 - alpha)`` times its mean cosine to the other candidates that have one.
     That mean is read off the sum of the unit vectors of the candidate set, so
-    candidates are not paired.
+    candidates are not paired.  As a candidate can lose by it, every other
+    document competes at ``alpha`` times its similarity; only the ``k`` next by
+    text can enter, so the ``4k`` best by text decide exactly.
     """
     from ..functions.vectors import dot, unit
 
-    found = vector_search(vectors, queries, 3 * k)
+    found = vector_search(vectors, queries, 4 * k)
     nodes = node_vectors.select(F.col("id").alias("doc_id"), unit(F.col("vec")).alias("u"))
-    linked = found.join(nodes, "doc_id")
+    linked = found.where(F.col("rank") <= 3 * k).join(nodes, "doc_id")
     parts = linked.select("query_id", F.posexplode("u").alias("i", "x"))
     sums = parts.groupBy("query_id", "i").agg(F.sum("x").alias("s")).groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("i", "s"))).alias("t"))

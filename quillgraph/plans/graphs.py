@@ -104,15 +104,17 @@ def combined_degrees(spark, folder):
     return degree.withColumn("degree", F.round("degree", 6))
 
 
-PRUNED = """SELECT src, dst, weight FROM net WHERE (SELECT count(*) FROM net) <= {limit} OR weight >= (SELECT quantile_cont(weight, 0.8) FROM net)"""
 NET = """paper AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS a FROM lineitem),
 net AS MATERIALIZED (SELECT x.a AS src, y.a AS dst, count(*)::DOUBLE AS weight FROM paper x JOIN paper y ON x.id = y.id AND x.a < y.a GROUP BY ALL),
 author AS (SELECT DISTINCT a AS id FROM paper)"""
 
 
-@query("g7_prune_edges", f"WITH {NET} " + PRUNED.format(limit=100000))
+@query("g7_prune_edges", """WITH trade AS MATERIALIZED (SELECT l_partkey AS src, l_suppkey AS dst, sum(l_quantity)::DOUBLE AS weight FROM lineitem GROUP BY ALL)
+SELECT src, dst, weight FROM trade WHERE weight >= (SELECT quantile_cont(weight, 0.8) FROM trade)""")
 def prune_edges(spark, folder):
-    return G.prune_edges(coauthor_network(spark, folder), 100_000)
+    """Parts and suppliers by the quantity between them: weights that differ, so that edges go."""
+    lines = table(spark, folder, "lineitem")
+    return G.prune_edges(lines.groupBy(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).agg(F.sum("l_quantity").alias("weight")))
 
 
 @query("g8_adjacency", f"WITH {NET} SELECT src, dst, weight FROM net UNION ALL SELECT dst, src, weight FROM net")

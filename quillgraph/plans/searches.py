@@ -176,7 +176,7 @@ def vector_search(spark, folder):
 HYBRID = f"""{DENSE}, {NODE_SQL}, {ranked_sql('sim', 30, 'cand')},
 linked AS (SELECT cand.*, node.v FROM cand JOIN node ON node.id = cand.doc_id),
 near AS (SELECT a.query_id, a.doc_id, avg(list_cosine_similarity(a.v, b.v)) AS near FROM linked a JOIN linked b ON a.query_id = b.query_id AND a.doc_id <> b.doc_id GROUP BY ALL),
-mix AS (SELECT c.query_id, c.doc_id, round(c.score * 0.7::DOUBLE + coalesce(near, 0) * 0.3::DOUBLE, 6) AS score FROM cand c LEFT JOIN near USING (query_id, doc_id))"""
+mix AS (SELECT c.query_id, c.doc_id, round(c.score * 0.7::DOUBLE + coalesce(near, 0) * 0.3::DOUBLE, 6) AS score FROM sim c LEFT JOIN near USING (query_id, doc_id))"""
 
 
 @query("q9_hybrid_search", f"WITH {HYBRID}, {ranked_sql('mix', 10, 'r')} SELECT * FROM r")

@@ -124,5 +124,5 @@ def test_dead_ends_and_embeddings(spark):
 
 def test_prune(spark):
     edges = spark.createDataFrame([(i, i + 1, float(i)) for i in range(11)], "src bigint, dst bigint, weight double")
-    assert G.prune_edges(edges, 100).count() == 11
-    assert G.prune_edges(edges, 10, 0.8).count() == 3
+    assert G.prune_edges(edges, 0.0).count() == 11
+    assert G.prune_edges(edges, 0.8).count() == 3
