@@ -55,7 +55,7 @@ def term_ranking(spark, folder):
 
 @query("i5_token_totals", f"WITH {Q.tok()} SELECT count(*) AS occurrences, count(DISTINCT term) AS unique_terms FROM tok")
 def token_totals(spark, folder):
-    return I.token_totals(document_bags(spark, folder))
+    return I.token_totals(document_bags(spark, folder, by_document=False))
 
 
 def _cluster_vocab(min_df, max_df):
@@ -131,12 +131,12 @@ def _collocations(min_freq, k, group=""):
 
 @query("i9_collocations", f"WITH {Q.tok()}, {_collocations(5, 30)} SELECT * FROM col")
 def collocations(spark, folder):
-    return I.collocations(document_bags(spark, folder), 5, 30)
+    return I.collocations(document_bags(spark, folder, by_document=False), 5, 30)
 
 
 @query("i10_cluster_collocations", f"WITH {Q.tok()}, {GIVEN_SQL}, {_collocations(3, 30, 'cluster')} SELECT * FROM col")
 def cluster_collocations(spark, folder):
-    return I.collocations(document_bags(spark, folder), 3, 30, given_labels(spark, folder))
+    return I.collocations(document_bags(spark, folder, by_document=False), 3, 30, given_labels(spark, folder))
 
 
 def discriminating(k=30, weight="w", name="dis"):

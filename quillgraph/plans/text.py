@@ -136,12 +136,12 @@ def normalise_b(spark, folder):
 
 @query("p8_tokenise", f"WITH {Q.tok(stop='', min_len=2, rule='b')} SELECT doc_id, pos, term FROM tok")
 def tokenise(spark, folder):
-    return K.tokens(document_bags(spark, folder, stop=(), min_len=2, rule="b")).withColumn("pos", F.col("pos").cast("bigint"))
+    return K.tokens(document_bags(spark, folder, stop=(), min_len=2, rule="b", by_document=False)).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query("p9_remove_stop", f"WITH {Q.tok(stop='')} SELECT term, count(*) AS n FROM tok WHERE term NOT IN ({Q.STOP}) GROUP BY term")
 def remove_stop(spark, folder):
-    kept = K.remove_stop(K.tokens(document_bags(spark, folder, stop=())))
+    kept = K.remove_stop(K.tokens(document_bags(spark, folder, stop=(), by_document=False)))
     return kept.groupBy("term").agg(F.count("*").alias("n"))
 
 
@@ -171,13 +171,13 @@ stems AS (SELECT form, CASE WHEN w LIKE '%y' AND contains({_shape_sql("left(w, l
 
 @query("p10_light_stems", f"WITH {Q.tok()}, {STEM_SQL} SELECT form, stem FROM stems")
 def light_stems(spark, folder):
-    return K.light_stems(K.tokens(document_bags(spark, folder)))
+    return K.light_stems(K.tokens(document_bags(spark, folder, by_document=False)))
 
 
 @query("p10_stem_tokens", f"""WITH {Q.tok()}, {STEM_SQL}
 SELECT stem AS term, count(*) AS n, count(DISTINCT doc_id) AS df FROM tok JOIN stems ON form = term GROUP BY stem""")
 def stem_tokens(spark, folder):
-    stemmed = K.stem(K.tokens(document_bags(spark, folder)))
+    stemmed = K.stem(K.tokens(document_bags(spark, folder, by_document=False)))
     return stemmed.groupBy("doc_id", "term").agg(F.count("*").alias("tf")).groupBy("term").agg(
         F.sum("tf").alias("n"), F.count("*").alias("df"))
 
@@ -187,7 +187,7 @@ lemmas AS (SELECT DISTINCT term AS form, left(term, length(term) - 2) AS lemma F
 SELECT coalesce(lemma, term) AS term, count(*) AS n FROM tok LEFT JOIN lemmas ON form = term GROUP BY 1""")
 def lemmatise(spark, folder):
     """The dictionary here is derived from the corpus; a real one is a supplied table."""
-    words = K.tokens(document_bags(spark, folder))
+    words = K.tokens(document_bags(spark, folder, by_document=False))
     forms = words.where(F.col("term").endswith("ing") & (F.length("term") > 5)).select(F.col("term").alias("form")).distinct()
     lemmas = forms.withColumn("lemma", F.expr("left(form, length(form) - 2)"))
     return K.lemmatise(words, lemmas).groupBy("term").agg(F.count("*").alias("n"))
@@ -198,7 +198,7 @@ def lemmatise(spark, folder):
   SELECT doc_id, 2 AS n, term || ' ' || lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS term FROM tok)
 SELECT n, term, count(*) AS freq, count(DISTINCT doc_id) AS df FROM runs WHERE term IS NOT NULL GROUP BY n, term""")
 def ngrams(spark, folder):
-    rows = K.ngrams(document_bags(spark, folder), 1, 2)
+    rows = K.ngrams(document_bags(spark, folder, by_document=False), 1, 2)
     return rows.groupBy("n", "doc_id", "term").agg(F.count("*").alias("tf")).groupBy("n", "term").agg(
         F.sum("tf").alias("freq"), F.count("*").alias("df"))
 
