@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .scale import salted_join
 
-MAX_ROUNDS = 60
-
 
 def _lowest(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("m"))
@@ -35,7 +33,7 @@ def components(nodes: DataFrame, edges: DataFrame, stars: DataFrame | None = Non
     ordered = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     current = cut(ordered.distinct())
     mark = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = _lowest(both).select("u", F.least("u", "m").alias("m"))
         large = salted_join(both.where("v > u"), low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -49,8 +47,6 @@ def components(nodes: DataFrame, edges: DataFrame, stars: DataFrame | None = Non
         if (state["n"], state["h"]) == mark:
             break
         mark = (state["n"], state["h"])
-    else:
-        raise RuntimeError("components did not settle")
     joined = nodes.select("id").join(current.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left")
     return joined.select("id", F.coalesce("component", "id").alias("component"))
 

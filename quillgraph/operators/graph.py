@@ -272,7 +272,7 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return salted_join(left, ids.select(F.col("id").alias("dst")), "dst", "src", "left_semi").select(*edges.columns)
 
 
-def edges_among(graph: Graph, ids: DataFrame, bound: int = 10_000) -> DataFrame:
+def edges_among(graph: Graph, ids: DataFrame, bound: int) -> DataFrame:
     """All pairs of a graph with stars among a small set of nodes, as listed edges.
 
     This is where stars become pairs, so the node set must be small: more than

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
@@ -12,18 +13,12 @@ from ..session import cut
 from . import graph as G
 from .scale import lowest_hashes, salted_join
 
-EXACT_BELOW = 1000
-SAMPLED_SOURCES = 100
-
-
 def _empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 
 
-def choose_sources(nodes: DataFrame, exact_below: int = EXACT_BELOW, sources: int = SAMPLED_SOURCES, seed: int = 42) -> DataFrame:
-    """All nodes of a small graph, else a seeded sample of exactly ``sources``."""
-    if nodes.limit(exact_below + 1).count() <= exact_below:
-        return nodes.select("id")
+def sampled_sources(nodes: DataFrame, sources: int = 100, seed: int = 42) -> DataFrame:
+    """A seeded sample of exactly ``sources`` nodes (all, if there are fewer)."""
     quota = nodes.sparkSession.range(1).select(F.lit(sources).alias("take"))
     return lowest_hashes(nodes.select("id"), "id", quota, seed)
 
@@ -32,9 +27,7 @@ def _levels(adjacency: DataFrame, sources: DataFrame) -> list[DataFrame]:
     """Breadth-first levels ``(source, id, sigma)``; sigma counts the shortest paths.
 
     A level is joined to the adjacency, counted before it is shuffled on, and
-    checked against the two levels before it: in an undirected graph a
-    neighbour lies on the last, the same or the next level.  With directed
-    edges all levels are checked.
+    what an earlier level has reached is left out.  Ends when nothing is new.
     """
     levels = [cut(sources.select(F.col("id").alias("source"), "id", F.lit(1.0).alias("sigma")))]
     seen = levels[0].select("source", "id")
@@ -63,23 +56,27 @@ def path_stats(dist: DataFrame) -> DataFrame:
         F.max("dist").alias("diameter"), F.round(F.avg("dist"), 6).alias("mean_path"))
 
 
-def closeness(nodes: DataFrame, dist: DataFrame, largest: DataFrame) -> DataFrame:
-    """``(id, closeness)`` of the sources of ``dist``, 0 for nodes outside the largest component.
+def closeness(dist: DataFrame, largest: DataFrame) -> DataFrame:
+    """``(id, closeness)`` of the sources of ``dist``, 0 for those outside the largest component.
 
     With r nodes reached and n in the component: ``(r-1)/sum * (r-1)/(n-1)``.
+    ``dist`` may hold steps or weighted distances.
     """
     n = largest.agg(F.count("*").cast("double").alias("n"))
     sums = dist.groupBy(F.col("source").alias("id")).agg(
         (F.count("*") - 1).cast("double").alias("r"), F.sum("dist").cast("double").alias("s"))
-    inside = sums.join(largest, "id", "left_semi").withColumn("n", n.scalar())
-    scaled = F.when((F.col("s") > 0) & (F.col("n") > 1), F.col("r") / F.col("s") * F.col("r") / (F.col("n") - 1)).otherwise(0.0)
-    found = inside.select("id", scaled.alias("c"))
-    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("c", F.lit(0.0)).alias("closeness"))
+    inside = largest.select("id", F.lit(True).alias("inside"))
+    asked = sums.join(inside, "id", "left").withColumn("n", n.scalar())
+    value = F.col("r") / F.col("s") * F.col("r") / (F.col("n") - 1)
+    return asked.select("id", F.when(F.col("inside") & (F.col("s") > 0) & (F.col("n") > 1), value).otherwise(0.0).alias("closeness"))
 
 
 def betweenness(nodes: DataFrame, adjacency: DataFrame, sources: DataFrame) -> DataFrame:
     """``(id, betweenness)``, normalised; with fewer sources than nodes scaled by their share.
 
+    An estimate from some sources is unbiased only if these are a sample without
+    regard to degree, such as :func:`sampled_sources`.
+
     Levels forward with path counts, then dependencies backward level by level
     (Brandes, 2001), all sources in the same joins.
     """
@@ -107,11 +104,11 @@ def betweenness(nodes: DataFrame, adjacency: DataFrame, sources: DataFrame) -> D
         "id", F.when(F.col("n") > 2, F.coalesce("s", F.lit(0.0)) * scale).otherwise(0.0).alias("betweenness"))
 
 
-def weighted_distances(adjacency: DataFrame, sources: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """``(source, id, dist)`` by edge weight, relaxed in rounds until nothing improves."""
+def weighted_distances(adjacency: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(source, id, dist)`` by edge weight (none negative), relaxed in rounds until nothing improves."""
     best = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("dist")))
     front = best
-    for _ in range(max_rounds):
+    while True:
         offers = adjacency.withColumnRenamed("src", "id").join(front, "id").groupBy(
             "source", F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("weight")).alias("offer"))
         merged = cut(best.join(offers, ["source", "id"], "full").select(
@@ -120,7 +117,6 @@ def weighted_distances(adjacency: DataFrame, sources: DataFrame, max_rounds: int
         best, front = merged.select("source", "id", "dist"), merged.where("new").select("source", "id", "dist")
         if _empty(front):
             return best
-    raise RuntimeError("distances did not settle")
 
 
 def weighted_betweenness(nodes: DataFrame, adjacency: DataFrame, sources: DataFrame) -> DataFrame:
@@ -154,19 +150,17 @@ def weighted_betweenness(nodes: DataFrame, adjacency: DataFrame, sources: DataFr
     return row.select("id", F.when(F.col("n") > 2, F.coalesce("s", F.lit(0.0)) * scale).otherwise(0.0).alias("betweenness"))
 
 
-def _settle(base: DataFrame, flow: DataFrame, max_rounds: int = 200) -> DataFrame:
+def _settle(base: DataFrame, flow: DataFrame) -> DataFrame:
     """x = base + sum of share * x over incoming ``flow`` of an acyclic graph, per source."""
     flow = cut(flow)
     wave = cut(base.where("base <> 0").select("source", "id", F.col("base").alias("x")))
     total = [wave]
-    for _ in range(max_rounds):
+    while True:
         wave = cut(flow.join(wave.withColumnRenamed("id", "from"), ["source", "from"]).groupBy(
             "source", F.col("to").alias("id")).agg(F.sum(F.col("x") * F.col("share")).alias("x")))
         if _empty(wave):
             break
         total.append(wave)
-    else:
-        raise RuntimeError("flow did not settle")
     sums = total[0]
     for more in total[1:]:
         sums = sums.unionByName(more)
@@ -183,8 +177,8 @@ def pagerank(
 ) -> DataFrame:
     """``(id, rank)``: weighted PageRank from a uniform start; dangling rank is spread evenly.
 
-    Stops when the ranks moved less than ``tol`` per node in sum; ``tol=0`` runs
-    all rounds.
+    Stops when the ranks moved less than ``tol`` per node in sum, and fails if
+    they never do; ``tol=0`` runs exactly ``rounds``.
     """
     n = float(nodes.count())
     out = adjacency.groupBy(F.col("src")).agg(F.sum("weight").alias("out"))
@@ -206,24 +200,27 @@ def pagerank(
         fresh = fresh.select("id", ((1 - damping) / n + damping * (F.coalesce("r", F.lit(0.0)) + lost / n)).alias("rank"))
         if any_dangling or step % cut_every == 0 or step == rounds:
             fresh = cut(fresh)
-            if tol and step % cut_every == 0:
+            if tol and (step % cut_every == 0 or step == rounds):
                 old = ranks.withColumnRenamed("rank", "old")
                 gap = fresh.join(old, "id").agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("g")).first()["g"]
                 if gap < tol * n:
                     return fresh
         ranks = fresh
+    if tol:
+        raise RuntimeError(f"ranks did not settle in {rounds} rounds")
     return ranks
 
 
-def _local_moves(links: DataFrame, nodes: DataFrame, two_m: float, seed: int, rounds: int) -> DataFrame:
+def _local_moves(links: DataFrame, nodes: DataFrame, two_m: float, seed: int, tol: float) -> DataFrame:
     """Communities ``(id, cluster)`` after rounds of best moves.
 
     Nodes of one hash half move per round, so that neighbours do not swap for
-    ever; rounds end when both halves stay.
+    ever.  Rounds end when both halves stay, or when both together raised the
+    modularity by less than ``tol``; the best state seen is returned.
     """
     labels = cut(nodes.select("id", F.col("id").alias("cluster"), "degree"))
-    still = 0
-    for step in range(rounds):
+    best_labels, best_score, last, still = labels, float("-inf"), float("-inf"), 0
+    for step in itertools.count():
         totals = labels.groupBy("cluster").agg(F.sum("degree").alias("tot"))
         near = salted_join(links.where("src <> dst"), labels.select(F.col("id").alias("dst"), "cluster"), "dst", "src")
         weights = near.groupBy(F.col("src").alias("id"), "cluster").agg(F.sum("weight").alias("k_in"))
@@ -231,23 +228,28 @@ def _local_moves(links: DataFrame, nodes: DataFrame, two_m: float, seed: int, ro
         offers = weights.unionByName(mine.select("id", F.col("own").alias("cluster"), F.lit(0.0).alias("k_in")))
         offers = offers.groupBy("id", "cluster").agg(F.sum("k_in").alias("k_in")).join(mine, "id")
         offers = salted_join(offers, totals, "cluster", "id")
-        rest = F.col("tot") - F.when(F.col("cluster") == F.col("own"), F.col("degree")).otherwise(0.0)
+        stays = F.col("cluster") == F.col("own")
+        rest = F.col("tot") - F.when(stays, F.col("degree")).otherwise(0.0)
         gain = F.round(F.col("k_in") - rest * F.col("degree") / two_m, 9)
-        scored = offers.withColumn("gain", gain)
-        best = scored.groupBy("id").agg(
-            F.max_by("cluster", F.struct(F.col("gain"), F.col("cluster") == F.col("own"), -F.col("cluster"))).alias("to"),
-            F.max("own").alias("own"), F.max("degree").alias("degree"))
+        # What a node adds to the modularity of the state before the round, but for its own loop.
+        share = F.col("k_in") / two_m - F.col("degree") * F.col("tot") / (two_m * two_m)
+        best = offers.withColumn("gain", gain).groupBy("id").agg(
+            F.min_by("cluster", F.struct(-F.col("gain"), ~stays, F.col("cluster"))).alias("to"),
+            F.max("own").alias("own"), F.max("degree").alias("degree"), F.max(F.when(stays, share)).alias("share"))
         half = F.pmod(F.xxhash64("id", F.lit(seed + step // 2)), F.lit(2)) == step % 2
-        moved = cut(best.select("id", F.when(half, F.col("to")).otherwise(F.col("own")).alias("cluster"), "degree", "own"))
-        changed = moved.where("cluster <> own").limit(1).count()
+        moved = cut(best.select("id", F.when(half, F.col("to")).otherwise(F.col("own")).alias("cluster"), "degree", "own", "share"))
+        state = moved.agg(F.sum("share").alias("score"), F.count_if(F.col("cluster") != F.col("own")).alias("changed")).first()
+        if state["score"] > best_score:
+            best_labels, best_score = labels, state["score"]
         labels = moved.select("id", "cluster", "degree")
-        still = 0 if changed else still + 1
-        if still == 2:
-            break
-    return labels.select("id", "cluster")
+        still = 0 if state["changed"] else still + 1
+        if still == 2 or (step and step % 2 == 0 and state["score"] - last < tol):
+            return best_labels.select("id", "cluster")
+        if step % 2 == 0:
+            last = state["score"]
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, seed: int = 42, rounds: int = 12, levels: int = 10) -> DataFrame:
+def louvain(nodes: DataFrame, edges: DataFrame, seed: int = 42, tol: float = 1e-4) -> DataFrame:
     """``(id, cluster)``: communities by local moves and contraction (Blondel et al., 2008).
 
     Moves are made by half of the nodes at a time instead of one by one; a level
@@ -260,9 +262,9 @@ def louvain(nodes: DataFrame, edges: DataFrame, seed: int = 42, rounds: int = 12
     graph = G.Graph(nodes, edges)
     labels = cut(nodes.select("id", F.col("id").alias("cluster")))
     score = G.modularity(graph, labels).first()["modularity"]
-    for level in range(levels):
+    for level in itertools.count():
         small = links.groupBy("src").agg(F.sum("weight").alias("degree")).select(F.col("src").alias("id"), "degree")
-        groups = _local_moves(links, small, two_m, seed + level, rounds)
+        groups = _local_moves(links, small, two_m, seed + level, tol)
         joined = salted_join(labels, groups.select(F.col("id").alias("cluster"), F.col("cluster").alias("to")), "cluster", "id", "left")
         merged = cut(joined.select("id", F.coalesce("to", "cluster").alias("cluster")))
         new = G.modularity(graph, merged).first()["modularity"]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,52 +10,51 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, distance
+from ..session import cut
+from .blocks import BLOCK, all_pairs, id_type, matrix
 from .index import cluster_sizes_of, with_labels
 from .scale import lowest_hashes, salted_join, top_k
 from .vectors import centroids
 
 DIGITS = 6
-SILHOUETTE_SAMPLE = 5000
 
 
-def silhouette(vectors: DataFrame, labels: DataFrame, sample: int = SILHOUETTE_SAMPLE, seed: int = 42) -> DataFrame:
-    """One row, ``silhouette``: Euclidean, on at most ``sample`` seeded points (its definition here).
+def silhouette(vectors: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row, ``silhouette``: Euclidean, over all points; null with fewer than two clusters.
 
-    The sampled points go out as one bounded block; tasks score the same points
-    in parallel, and distances never become rows.
+    Blocks of points meet blocks of points and hand on one sum of distances per
+    point and cluster, so distances never become rows.  The work grows with the
+    square of the points; ask for :func:`sampled_silhouette` to bound it.
     """
-    points = vectors.join(labels, "id").select("id", "vec", F.col("cluster").cast("string").alias("cluster"))
-    if points.count() > sample:
-        quota = points.sparkSession.range(1).select(F.lit(sample).alias("take"))
-        points = lowest_hashes(points, "id", quota, seed)
-    local = points.toPandas()
-    names = sorted(local["cluster"].unique())
-    if len(names) < 2:  # not defined
-        return points.sparkSession.range(1).select(F.lit(None).cast("double").alias("silhouette"))
-    matrix = np.stack(local["vec"].to_numpy()).astype(float)
-    member = np.stack([(local["cluster"] == c).to_numpy() for c in names], axis=1).astype(float)
-    block = points.sparkSession.sparkContext.broadcast((matrix, member, names))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        everyone, belongs, order = block.value
-        sizes = belongs.sum(axis=0)
-        for batch in batches:
-            if batch.empty:
-                continue
-            mine = np.stack(batch["vec"].to_numpy()).astype(float)
-            squares = (mine * mine).sum(1)[:, None] + (everyone * everyone).sum(1)[None, :] - 2 * mine @ everyone.T
-            sums = np.sqrt(np.maximum(squares, 0)) @ belongs
-            own = np.array([order.index(c) for c in batch["cluster"]])
-            row = np.arange(len(own))
-            n_own = sizes[own]
-            inside = sums[row, own] / np.maximum(n_own - 1, 1)
-            means = sums / sizes[None, :]
-            means[row, own] = np.inf
-            outside = means.min(axis=1)
-            value = np.where(n_own > 1, (outside - inside) / np.maximum(np.maximum(inside, outside), 1e-300), 0.0)
-            yield pd.DataFrame({"s": value})
-
-    return points.repartition("id").mapInPandas(score, "s double").agg(F.avg("s").alias("silhouette"))
+    points = cut(vectors.join(labels, "id").select("id", "vec", F.col("cluster").cast("string").alias("cluster")))
+
+    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({
+                "id": a["id"].iloc[:0], "own": a["cluster"].iloc[:0], "cluster": b["cluster"].iloc[:0], "s": np.array([], dtype=float)})
+        mine, others = matrix(a), matrix(b)
+        squares = (mine * mine).sum(1)[:, None] + (others * others).sum(1)[None, :] - 2 * mine @ others.T
+        names, member = np.unique(b["cluster"].to_numpy().astype(str), return_inverse=True)
+        total = np.sqrt(np.maximum(squares, 0)) @ np.eye(len(names))[member]
+        return pd.DataFrame({
+            "id": np.repeat(a["id"].to_numpy(), len(names)), "own": np.repeat(a["cluster"].to_numpy(), len(names)),
+            "cluster": np.tile(names, len(a)), "s": total.ravel()})
+
+    parts = all_pairs(points, points, sums, f"id {id_type(points)}, own string, cluster string, s double", block)
+    far = parts.groupBy("id", "own", "cluster").agg(F.sum("s").alias("s"))
+    sizes = points.groupBy("cluster").agg(F.count("*").alias("n"))
+    mine = F.col("own") == F.col("cluster")
+    each = salted_join(far, sizes, "cluster", "id").groupBy("id").agg(
+        F.max(F.when(mine, F.col("s") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("inside"),
+        F.max(F.when(mine, F.col("n"))).alias("n_own"), F.min(F.when(~mine, F.col("s") / F.col("n"))).alias("outside"))
+    value = (F.col("outside") - F.col("inside")) / F.greatest("inside", "outside", F.lit(1e-300))
+    return each.agg(F.avg(F.when(F.col("outside").isNotNull(), F.when(F.col("n_own") > 1, value).otherwise(0.0))).alias("silhouette"))
+
+
+def sampled_silhouette(vectors: DataFrame, labels: DataFrame, sample: int, seed: int = 42) -> DataFrame:
+    """The silhouette of a seeded sample of exactly ``sample`` points (all, if there are fewer)."""
+    quota = vectors.sparkSession.range(1).select(F.lit(sample).alias("take"))
+    return silhouette(vectors, lowest_hashes(labels, "id", quota, seed))
 
 
 def squared_silhouette(vectors: DataFrame, labels: DataFrame) -> float:
@@ -94,12 +92,12 @@ def cluster_indices(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     return row.select("clusters", "davies_bouldin", spread_ratio.alias("calinski_harabasz"))
 
 
-def compare_runs(vectors: DataFrame, runs: dict[str, DataFrame], sample: int = SILHOUETTE_SAMPLE) -> DataFrame:
+def compare_runs(vectors: DataFrame, runs: dict[str, DataFrame]) -> DataFrame:
     """``(run, clusters, silhouette, davies_bouldin, calinski_harabasz)``, best silhouette first."""
     out = None
     for name, labels in runs.items():
         kept = labels.where(F.col("cluster") != -1)
-        row = cluster_indices(vectors, kept).withColumn("silhouette", silhouette(vectors, kept, sample).scalar())
+        row = cluster_indices(vectors, kept).withColumn("silhouette", silhouette(vectors, kept).scalar())
         row = row.select(F.lit(name).alias("run"), "clusters", *[
             F.round(c, DIGITS).alias(c) for c in ("silhouette", "davies_bouldin", "calinski_harabasz")])
         out = row if out is None else out.unionByName(row)
@@ -236,8 +234,9 @@ def agreement_table(clusterings: dict[str, DataFrame], key: str = "doc_id") -> D
 def _expected_mutual(a: float, b: float, n: float) -> float:
     """Expected contribution of one pair of margins under random labelling.
 
-    The common count is hypergeometric; outside 40 standard deviations its
-    probability is below the smallest double, so the sum is complete.
+    The common count is hypergeometric.  The sum runs over all counts within
+    40 deviations and 40 of its mean; by Bernstein's inequality the others have
+    a probability below 2 exp(-60) together, less than the rounding of a double.
     """
     low, high = max(1.0, a + b - n), min(a, b)
     mean = a * b / n

@@ -106,10 +106,13 @@ def sparse_rows(index: DataFrame, numbers: DataFrame, weight: str = "w") -> Data
 
 
 def lda(index: DataFrame, vocab: DataFrame, k: int, iterations: int = 20, seed: int = 42, terms: int = 10):
-    """Topics of the count index: ``(doc_topics(doc_id, topic, p), topic_terms(topic, rank, term, p))``."""
+    """Topics of the count index: ``(doc_topics(doc_id, topic, p), topic_terms(topic, rank, term, p))``.
+
+    Every iteration reads all documents, not a sample of them.
+    """
     numbers = cut(term_numbers(vocab))
     rows = cut(sparse_rows(index, numbers, "tf"))
-    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", optimizeDocConcentration=True).fit(rows)
+    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0, optimizeDocConcentration=True).fit(rows)
     p = model.transform(rows).select("doc_id", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "p"))
     described = model.describeTopics(terms).select(
         "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("r", "x")

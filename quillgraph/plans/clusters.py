@@ -128,7 +128,7 @@ def _lda(spark, folder):
     bags = document_bags(spark, folder)
     counts = cut(I.term_counts(bags))
     vocab = cut(I.vocabulary(counts, I.corpus_size(bags), 5, 0.95))
-    return V.lda(I.tf_index(counts, vocab), vocab, 8, 10)
+    return V.lda(I.tf_index(counts, vocab), vocab, 20, 20)
 
 
 @query("v6_sampled_topics")
@@ -158,7 +158,7 @@ def encode(spark, folder):
 
 @query("c1_kmeans")
 def kmeans(spark, folder):
-    return C.kmeans(vectors(spark, folder), 8, 42, 3)
+    return C.kmeans(vectors(spark, folder), 8)
 
 
 @query("c2_hierarchical")
@@ -184,7 +184,7 @@ def dbscan(spark, folder):
 @query("c4_gmm")
 def gmm(spark, folder):
     reduced, _ = V.pca(vectors(spark, folder), 8)
-    return C.gmm(reduced, 4, 42, 1)
+    return C.gmm(reduced, 4)
 
 
 @query("c5_silhouette", f"""WITH {VEC_SQL}, far AS (SELECT a.id, a.label AS own, b.label AS other, sum(list_distance(a.v, b.v)) AS s, count(*) AS n
@@ -216,7 +216,7 @@ def cluster_indices(spark, folder):
 @query("c7_compare_runs")
 def compare_runs(spark, folder):
     rows = vectors(spark, folder)
-    runs = {"given": label_of_vectors(spark, folder), "kmeans": cut(C.kmeans(rows, 8, 42, 1)),
+    runs = {"given": label_of_vectors(spark, folder), "kmeans": cut(C.kmeans(rows, 8)),
             "hierarchical": cut(C.hierarchical(rows, 8))}
     return U.compare_runs(rows, runs)
 
@@ -287,12 +287,12 @@ def topic_central_documents(spark, folder):
 @query("c15_svd_kmeans")
 def svd_kmeans(spark, folder):
     index, vocab, _ = document_index(spark, folder)
-    return C.svd_kmeans(index, vocab, 20, 8, 42, 1)
+    return C.svd_kmeans(index, vocab, 20, 8)
 
 
 @query("c16_spectral")
 def spectral(spark, folder):
-    return C.spectral(author_nodes(spark, folder), coauthor_network(spark, folder), 8, 5)
+    return C.spectral(author_nodes(spark, folder), coauthor_network(spark, folder), 8)
 
 
 def _agreement_sql(a, b):
@@ -335,7 +335,7 @@ def evaluate_labels(spark, folder):
 def run_clusterings(spark, folder):
     rows = cut(vectors(spark, folder).select("id", "vec"))
     reduced = cut(V.pca(rows, 8)[0])
-    runs = C.run_clusterings({"embedding": rows, "reduced": reduced}, 8, 42, 1, EPS, MIN_SAMPLES, dense=["reduced"])
+    runs = C.run_clusterings({"embedding": rows, "reduced": reduced}, 8, 42, 10, EPS, MIN_SAMPLES, dense=["reduced"])
     return U.compare_runs(rows, {name: cut(labels) for name, labels in runs.items()})
 
 

@@ -1,8 +1,8 @@
 """Queries for graph measures that need rounds.
 
 The co-author network (orders as papers, parts as authors) and the citation
-graph of parts; sources of distances are the best-connected nodes, so that the
-SQL can repeat the choice.
+graph of parts.  Distances run from a sample of 100 parts, drawn by the hash of their id
+without regard to degree, to all parts.
 """
 
 from __future__ import annotations
@@ -19,22 +19,22 @@ from .graphs import (
 )
 from .registry import query, table
 
-# Customers joined by nothing but their own large orders: a graph that falls apart.
+# Customers joined by orders of a kind: a graph that falls apart.
 SPARSE = """cust AS (SELECT c_custkey AS id FROM customer),
-big AS (SELECT DISTINCT o_custkey AS id, o_orderdate::DATE AS day FROM orders WHERE o_totalprice > 440000)"""
+alike AS (SELECT DISTINCT o_custkey AS id, o_orderdate::DATE AS day, o_orderpriority AS priority, floor(o_totalprice / 10000)::BIGINT AS price FROM orders)"""
 
 
-def spending_days(spark, folder):
-    """``(hub, id)``: customers with a very large order on the same day."""
-    rows = table(spark, folder, "orders").where("o_totalprice > 440000")
-    return rows.select(F.to_date("o_orderdate").cast("string").alias("hub"), F.col("o_custkey").alias("id")).distinct()
+def like_orders(spark, folder):
+    """``(hub, id)``: customers with an order of the same day, priority and price class."""
+    hub = F.concat_ws("|", F.to_date("o_orderdate").cast("string"), "o_orderpriority", F.floor(F.col("o_totalprice") / 10000).cast("string"))
+    return table(spark, folder, "orders").select(hub.alias("hub"), F.col("o_custkey").alias("id")).distinct()
 
 
 def customers(spark, folder):
     return table(spark, folder, "customer").select(F.col("c_custkey").alias("id"))
 
 
-COMPONENTS = f"""{SPARSE}, link AS (SELECT a.id AS a, b.id AS b FROM big a JOIN big b USING (day)),
+COMPONENTS = f"""{SPARSE}, link AS (SELECT a.id AS a, b.id AS b FROM alike a JOIN alike b USING (day, priority, price)),
 reach(id, root) AS (SELECT id, id FROM cust UNION SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.id),
 comp AS (SELECT id, min(root) AS component FROM reach GROUP BY id)"""
 
@@ -43,7 +43,7 @@ comp AS (SELECT id, min(root) AS component FROM reach GROUP BY id)"""
 def components(spark, folder):
     nodes = customers(spark, folder)
     none = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst")).where(F.lit(False))
-    return N.components(nodes, none, spending_days(spark, folder))
+    return N.components(nodes, none, like_orders(spark, folder))
 
 
 @query("g14_component_stats", f"""WITH RECURSIVE {COMPONENTS}, s AS (SELECT count(*) AS n FROM comp GROUP BY component)
@@ -67,19 +67,18 @@ def filter_graph(spark, folder):
     return G.induced(edges, ids)
 
 
-TOP_SQL = "top AS (SELECT id FROM deg ORDER BY degree DESC, id LIMIT 10)"
-BFS_SQL = f"""{DEGREE}, {TOP_SQL}, sym AS (SELECT src, dst FROM und UNION ALL SELECT dst, src FROM und),
-walk(source, id, dist) AS (SELECT id, id, 0 FROM top UNION
-  SELECT walk.source, sym.dst, walk.dist + 1 FROM walk JOIN sym ON sym.src = walk.id WHERE walk.dist < 4),
-far AS (SELECT source, id, min(dist)::INT AS dist FROM walk GROUP BY source, id)"""
+DEPTH = 6  # steps written out in the SQL, more than any distance in these graphs
+BFS_SQL = f"""{DEGREE}, asked AS (SELECT id FROM node ORDER BY md5(id::VARCHAR), id LIMIT 100), sym AS MATERIALIZED (SELECT src, dst FROM und UNION ALL SELECT dst, src FROM und),
+walk(source, id, dist) AS (SELECT id, id, 0 FROM asked UNION
+  SELECT walk.source, sym.dst, walk.dist + 1 FROM walk JOIN sym ON sym.src = walk.id WHERE walk.dist < {DEPTH}),
+far AS MATERIALIZED (SELECT source, id, min(dist)::INT AS dist FROM walk GROUP BY source, id)"""
 
 
 def citation_world(spark, folder):
-    """Nodes, symmetric citation links and the ten best-connected parts."""
+    """Nodes, symmetric citation links and the sampled parts that distances start from."""
     nodes = cut(part_nodes(spark, folder))
     links = cut(G.adjacency(undirected(spark, folder)))
-    sources = cut(G.hubs(degrees(spark, folder), 10).select("id"))
-    return nodes, links, sources
+    return nodes, links, cut(nodes.orderBy(F.md5(F.col("id").cast("string")), "id").limit(100))
 
 
 @query("g17_distances", f"WITH RECURSIVE {BFS_SQL} SELECT source, id, dist FROM far")
@@ -95,13 +94,31 @@ def path_stats(spark, folder):
 
 @query("g17_path_stats_sampled")
 def path_stats_sampled(spark, folder):
+    """From a seeded sample of the largest component."""
     nodes, links, _ = citation_world(spark, folder)
-    return R.path_stats(R.distances(links, R.choose_sources(nodes)))
-
-
-@query("g19_betweenness")
+    largest = cut(N.largest_component(N.components(nodes, links)))
+    return R.path_stats(R.distances(links, R.sampled_sources(largest)))
+
+
+def _betweenness_sql():
+    """Path counts level by level, then dependencies backward."""
+    ctes = ["s0 AS (SELECT source, id, 1.0::DOUBLE AS s FROM far WHERE dist = 0)"]
+    for d in range(1, DEPTH + 1):
+        ctes.append(f"""s{d} AS MATERIALIZED (SELECT far.source, far.id, sum(s) AS s FROM s{d - 1} p JOIN sym ON sym.src = p.id
+          JOIN far ON far.source = p.source AND far.id = sym.dst AND far.dist = {d} GROUP BY ALL)""")
+    ctes.append(f"d{DEPTH} AS (SELECT source, id, s, 0.0::DOUBLE AS delta FROM s{DEPTH})")
+    for d in range(DEPTH - 1, 0, -1):
+        ctes.append(f"""d{d} AS MATERIALIZED (SELECT p.source, p.id, p.s, p.s * coalesce(push, 0) AS delta FROM s{d} p LEFT JOIN (
+          SELECT p.source, p.id, sum((1 + n.delta) / n.s) AS push FROM s{d} p JOIN sym ON sym.src = p.id
+          JOIN d{d + 1} n ON n.source = p.source AND n.id = sym.dst GROUP BY ALL) x ON x.source = p.source AND x.id = p.id)""")
+    every = " UNION ALL ".join(f"SELECT id, delta FROM d{d}" for d in range(1, DEPTH + 1))
+    return ",\n".join(ctes) + f", total AS (SELECT id, sum(delta) AS t FROM ({every}) GROUP BY id)"
+
+
+@query("g19_betweenness", f"""WITH RECURSIVE {BFS_SQL}, {_betweenness_sql()}, n AS (SELECT count(*)::DOUBLE AS n, (SELECT count(*) FROM asked)::DOUBLE AS k FROM node)
+SELECT node.id, round(coalesce(t, 0) * n / k / ((n - 1) * (n - 2)), 9) AS betweenness FROM node CROSS JOIN n LEFT JOIN total USING (id)""")
 def betweenness(spark, folder):
-    return R.betweenness(*citation_world(spark, folder))
+    return R.betweenness(*citation_world(spark, folder)).withColumn("betweenness", F.round("betweenness", 9))
 
 
 @query("g19_weighted_betweenness")
@@ -112,13 +129,16 @@ def weighted_betweenness(spark, folder):
 
 
 @query("g20_closeness", f"""WITH RECURSIVE {BFS_SQL}, s AS (SELECT source AS id, count(*) - 1 AS r, sum(dist) AS s FROM far GROUP BY source),
-n AS (SELECT count(DISTINCT id) AS n FROM far)
-SELECT node.id, round(coalesce(r::DOUBLE / s * r / (n - 1), 0), 6) AS closeness FROM node CROSS JOIN n LEFT JOIN s USING (id)""")
+n AS (SELECT max(r) + 1 AS n FROM s)
+SELECT id, round(CASE WHEN s > 0 AND r + 1 = n THEN r::DOUBLE / s * r / (n - 1) ELSE 0 END, 6) AS closeness FROM s CROSS JOIN n""")
 def closeness(spark, folder):
     nodes, links, sources = citation_world(spark, folder)
     largest = cut(N.largest_component(N.components(nodes, links)))
-    out = R.closeness(nodes, R.distances(links, sources), largest)
-    return out.withColumn("closeness", F.round("closeness", 6))
+    return R.closeness(R.distances(links, sources), largest).withColumn("closeness", F.round("closeness", 6))
+
+
+SETTLED = 1e-15  # ranks equal to the ninth digit whatever the rounds
+ROUNDS = 30  # rounds written out in the SQL
 
 
 def _pagerank_sql(rounds, edges, weight):
@@ -131,17 +151,17 @@ def _pagerank_sql(rounds, edges, weight):
     return ",\n".join(ctes)
 
 
-@query("g21_pagerank", f"WITH {WORLD}, {_pagerank_sql(10, 'cite', '1')} SELECT id, round(rank, 9) AS rank FROM r10")
+@query("g21_pagerank", f"WITH {WORLD}, {_pagerank_sql(ROUNDS, 'cite', '1')} SELECT id, round(rank, 9) AS rank FROM r{ROUNDS}")
 def pagerank(spark, folder):
     links = citation_edges(spark, folder).withColumn("weight", F.lit(1.0))
-    return R.pagerank(part_nodes(spark, folder), links, 10, 0).withColumn("rank", F.round("rank", 9))
+    return R.pagerank(part_nodes(spark, folder), links, tol=SETTLED).withColumn("rank", F.round("rank", 9))
 
 
 @query("g21_weighted_pagerank", f"""WITH {NET}, node AS (FROM author), adj AS MATERIALIZED (SELECT src, dst, weight FROM net UNION ALL SELECT dst, src, weight FROM net),
-{_pagerank_sql(10, 'adj', 'weight')} SELECT id, round(rank, 9) AS rank FROM r10""")
+{_pagerank_sql(ROUNDS, 'adj', 'weight')} SELECT id, round(rank, 9) AS rank FROM r{ROUNDS}""")
 def weighted_pagerank(spark, folder):
     links = G.adjacency(coauthor_network(spark, folder))
-    return R.pagerank(author_nodes(spark, folder), links, 10, 0).withColumn("rank", F.round("rank", 9))
+    return R.pagerank(author_nodes(spark, folder), links, tol=SETTLED).withColumn("rank", F.round("rank", 9))
 
 
 @query("g22_louvain")
@@ -174,15 +194,15 @@ def embed_by_sample(spark, folder):
 
 
 FEATURES = f"""{NET}, node AS (FROM author), {_clustering_sql(False)},
-wd AS (SELECT src AS id, sum(weight) AS degree, count(*) AS links FROM adj GROUP BY src), {_pagerank_sql(10, 'adj', 'weight')}"""
+wd AS (SELECT src AS id, sum(weight) AS degree, count(*) AS links FROM adj GROUP BY src), {_pagerank_sql(ROUNDS, 'adj', 'weight')}"""
 
 
 @query("g27_graph_features", f"""WITH {FEATURES} SELECT author.id, round(coalesce(wd.degree, 0), 6) AS degree,
 round(coalesce(links, 0) / ((SELECT count(*) FROM author) - 1)::DOUBLE, 6) AS centrality, round(coefficient, 6) AS coefficient, round(rank, 9) AS rank
-FROM author LEFT JOIN wd USING (id) LEFT JOIN cc USING (id) LEFT JOIN r10 USING (id)""")
+FROM author LEFT JOIN wd USING (id) LEFT JOIN cc USING (id) LEFT JOIN r{ROUNDS} USING (id)""")
 def graph_features(spark, folder):
     nodes, edges = cut(author_nodes(spark, folder)), cut(coauthor_network(spark, folder))
     out = R.graph_features(
         nodes, G.weighted_degrees(G.Graph(nodes, edges)), G.degree_centrality(G.degrees(nodes, edges)),
-        G.clustering_coefficient(nodes, edges), R.pagerank(nodes, G.adjacency(edges), 10, 0))
+        G.clustering_coefficient(nodes, edges), R.pagerank(nodes, G.adjacency(edges), tol=SETTLED))
     return out.select("id", *[F.round(c, 6).alias(c) for c in ("degree", "centrality", "coefficient")], F.round("rank", 9).alias("rank"))

@@ -75,20 +75,56 @@ def test_dbscan_against_brute_force(spark, block):
     assert [got[i] for i in range(len(data))] == brute_dbscan(data, 0.05, 4)
 
 
-def test_nearest_in_several_blocks(spark, monkeypatch):
-    import quillgraph.operators.blocks as blocks
-
+def test_nearest_in_several_blocks(spark):
     rng = np.random.default_rng(1)
     data, ask = rng.normal(size=(200, 4)), rng.normal(size=(30, 4))
     whole = sorted(map(tuple, nearest(points(spark, data), points(spark, ask), 3).collect()))
-    real = blocks.query_blocks
-    monkeypatch.setattr(blocks, "query_blocks", lambda q: real(q, 40))
-    assert sorted(map(tuple, blocks.nearest(points(spark, data), points(spark, ask), 3).collect())) == whole
+    assert sorted(map(tuple, nearest(points(spark, data), points(spark, ask), 3, block=13).collect())) == whole
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     best = (unit(ask) @ unit(data).T).argmax(axis=1)
     assert [r[2] for r in whole if r[1] == 1] == best.tolist()
 
 
+def named(df):
+    """The same rows under text ids, in the order of the numbers."""
+    return df.withColumn("id", F.format_string("n%04d", F.col("id")))
+
+
+def test_text_ids(spark):
+    rng = np.random.default_rng(7)
+    data = np.concatenate([c + 0.2 * rng.normal(size=(25, 5)) for c in rng.normal(size=(3, 5))])
+    rows = points(spark, data)
+    near = [(r[0], r[1], r[2]) for r in nearest(rows, rows, 3).collect()]
+    assert sorted((f"n{a:04d}", r, f"n{b:04d}") for a, r, b in near) == sorted(
+        (r[0], r[1], r[2]) for r in nearest(named(rows), named(rows), 3).collect())
+    want = brute_dbscan(data, 0.05, 4)
+    got = {r["id"]: r["cluster"] for r in C.dbscan(named(rows), 0.05, 4, block=20).collect()}
+    assert [got[f"n{i:04d}"] for i in range(len(data))] == ["-1" if c < 0 else f"n{c:04d}" for c in want]
+
+
+def brute_silhouette(data, label):
+    gap = np.sqrt(((data[:, None] - data[None]) ** 2).sum(-1))
+    out = []
+    for i, own in enumerate(label):
+        mean = {c: gap[i, label == c].sum() / max((label == c).sum() - (c == own), 1) for c in set(label)}
+        outside = min(v for c, v in mean.items() if c != own)
+        out.append((outside - mean[own]) / max(outside, mean[own]) if (label == own).sum() > 1 else 0.0)
+    return np.mean(out)
+
+
+def test_silhouette_of_all_points_in_blocks(spark):
+    rng = np.random.default_rng(2)
+    data, label = rng.normal(size=(90, 3)), np.arange(90) % 4
+    label[0] = 9  # a cluster of one
+    given = spark.createDataFrame([(i, int(c)) for i, c in enumerate(label)], "id bigint, cluster int")
+    for block in (17, 2000):
+        got = U.silhouette(points(spark, data), given, block).first()[0]
+        assert got == pytest.approx(brute_silhouette(data, label), abs=1e-6)
+    assert U.sampled_silhouette(points(spark, data), given, 200).first()[0] == pytest.approx(brute_silhouette(data, label), abs=1e-6)
+    one = given.withColumn("cluster", F.lit(1))
+    assert U.silhouette(points(spark, data), one).first()[0] is None
+
+
 def test_models_split_well_separated_points(spark):
     data = np.concatenate([np.random.default_rng(i).normal(size=(20, 3)) * 0.1 + c for i, c in enumerate(([5, 0, 0], [0, 5, 0]))])
     rows = points(spark, data)

@@ -34,7 +34,7 @@ def test_bridge_measures(bridge):
     for measure in (R.betweenness, R.weighted_betweenness):
         b = by_id(measure(nodes, links, nodes), "betweenness")
         assert b[3] == b[4] == pytest.approx(0.6) and b[1] == pytest.approx(0)
-    close = by_id(R.closeness(nodes, dist, nodes), "closeness")
+    close = by_id(R.closeness(dist, nodes), "closeness")
     assert close[3] == pytest.approx(0.714286, abs=1e-6) and close[1] == pytest.approx(0.5)
     rank = by_id(R.pagerank(nodes, links, 20, 0), "rank")
     assert rank[3] == pytest.approx(0.208029, abs=1e-6) and rank[1] == pytest.approx(0.145985, abs=1e-6)
@@ -42,6 +42,30 @@ def test_bridge_measures(bridge):
     assert G.modularity(G.Graph(nodes, edges), halves).first()[0] == pytest.approx(0.357143, abs=1e-6)
 
 
+def test_closeness_and_rank_only_where_computed(spark, bridge):
+    nodes, edges = bridge
+    links = G.adjacency(edges)
+    few = R.distances(links, nodes.where("id IN (1, 3)"))
+    assert set(by_id(R.closeness(few, nodes), "closeness")) == {1, 3}
+    assert set(by_id(R.closeness(few, nodes.where("id > 3")), "closeness").values()) == {0.0}
+    with pytest.raises(RuntimeError):
+        R.pagerank(nodes, links, 2, 1e-12)
+    assert R.sampled_sources(nodes, 4).count() == 4 and R.sampled_sources(nodes, 100).count() == 6
+
+
+def test_weighted_distances_on_a_chain(spark):
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(12)], "src bigint, dst bigint, weight double")
+    far = R.weighted_distances(G.adjacency(chain), spark.range(1))
+    assert by_id(far, "dist") == {i: float(i) for i in range(13)}
+
+
+def test_louvain_on_text_ids(spark):
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}", 1.0) for a, b in PAIRS], "src string, dst string, weight double")
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(1, 7)], "id string")
+    labels = by_id(R.louvain(nodes, edges), "cluster")
+    assert labels["n1"] == labels["n2"] == labels["n3"] != labels["n4"] == labels["n5"] == labels["n6"]
+
+
 def test_louvain_finds_the_triangles(bridge):
     nodes, edges = bridge
     labels = by_id(R.louvain(nodes, edges), "cluster")
@@ -66,7 +90,7 @@ def articles(spark):
 def test_article_graphs(articles, spark):
     assert [tuple(r) for r in G.coupling_edges(articles, 2).collect()] == [(1, 2, 2.0)]
     graph = G.combined_graph(articles)
-    listed = {(r["src"], r["dst"]): r["weight"] for r in G.edges_among(graph, articles.select("id")).collect()}
+    listed = {(r["src"], r["dst"]): r["weight"] for r in G.edges_among(graph, articles.select("id"), 10).collect()}
     assert listed == {(1, 2): 2.5, (1, 3): 0.1, (2, 3): 0.1}
     degree = by_id(G.weighted_degrees(graph), "degree")
     assert degree[1] == pytest.approx(2.6) and degree[3] == pytest.approx(0.2) and degree[4] == 0
