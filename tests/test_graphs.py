@@ -53,6 +53,15 @@ def test_closeness_and_rank_only_where_computed(spark, bridge):
     assert R.sampled_sources(nodes, 4).count() == 4 and R.sampled_sources(nodes, 100).count() == 6
 
 
+def test_distances_from_more_sources_than_bits(spark):
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(9)], "src bigint, dst bigint, weight double")
+    found = R.distances(G.adjacency(chain), spark.range(200)).collect()
+    got = {(r["source"], r["id"]): r["dist"] for r in found}
+    want = {(a, b): abs(a - b) for a in range(10) for b in range(10)} | {(a, a): 0 for a in range(10, 200)}
+    assert len(found) == len(got) and got == want
+    assert R.distances(G.adjacency(chain), spark.range(0)).count() == 0
+
+
 def test_weighted_distances_on_a_chain(spark):
     chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(12)], "src bigint, dst bigint, weight double")
     far = R.weighted_distances(G.adjacency(chain), spark.range(1))
