@@ -59,7 +59,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         at = text.find("@", max(at + 1, done))
     if not DIGIT.search(text):
         return out
-    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    for m in IP.finditer(text):
+        numbers = [p.lstrip("0") or "0" for p in m[0].split(".")]  # without zeros in front, of which there may be thousands
+        if all(len(n) <= 3 and int(n) <= 255 for n in numbers):
+            out.append((1, m.start(), m.end()))
     for m in CARD.finditer(text):
         digits = NOT_DIGITS.sub("", m[0])
         if 13 <= len(digits) <= 19 and luhn(digits):
