@@ -67,6 +67,11 @@ def cells(unit: np.ndarray, turn: np.ndarray, table: int) -> np.ndarray:
     return np.array(out)
 
 
+def levelled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two (exact, so that cosines stay) that bring the largest component near one: squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _hashed(classes: DataFrame) -> DataFrame:
     """``(cell, id, own)`` of ``(id, vec)``."""
     def run(batches):
@@ -80,7 +85,7 @@ def _hashed(classes: DataFrame) -> DataFrame:
                 turn = turns.setdefault(int(dim), rotations(int(dim)))
                 for i in range(0, len(some), CHUNK):
                     at = some[i:i + CHUNK]
-                    x = flat[begin[at][:, None] + np.arange(dim)]
+                    x = levelled(flat[begin[at][:, None] + np.arange(dim)])
                     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
                     for t in range(len(turn)):
                         found = cells(unit, turn[t], t) ^ np.uint64(dim)
@@ -103,7 +108,7 @@ def _cosines(pairs: DataFrame, least: float) -> DataFrame:
             same = sizes == np.diff(b.offsets.to_numpy())
             for dim in np.unique(sizes[same]):
                 at = np.flatnonzero(same & (sizes == dim))
-                x, y = (v.values.to_numpy()[v.offsets.to_numpy()[:-1][at][:, None] + np.arange(dim)] for v in (a, b))
+                x, y = (levelled(v.values.to_numpy()[v.offsets.to_numpy()[:-1][at][:, None] + np.arange(dim)]) for v in (a, b))
                 dots = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
                 close[at] = dots >= least
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(close)) for i in (0, 1)], names=["a", "b"])
