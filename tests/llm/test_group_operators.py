@@ -123,7 +123,7 @@ def test_near_vectors(spark):
     assert found[1006]["n_links"] == 2 and found[1007]["component_id"] == found[2000]["component_id"] == 1006
     assert found[len(x) - 1]["component_id"] == found[0]["component_id"] and not found[len(x) - 1]["kept"]
     assert lattice.near_vectors(table.limit(0)).isEmpty()
-    far = [(i, [size * v for v in base[1]]) for i, size in enumerate((1e300, 1e-300, 1.0))] + [(3, [1e300 * v for v in base[2]])]
+    far = [(i, [float(size * v) for v in base[1]]) for i, size in enumerate((1e300, 1e-300, 1.0))] + [(3, [float(1e300 * v) for v in base[2]])]
     found = lattice.near_vectors(spark.createDataFrame(far, "vec_id bigint, embedding array<double>")).orderBy("vec_id").collect()
     assert [(r["n_links"], r["component_id"]) for r in found] == [(2, 0), (2, 0), (2, 0), (0, 3)]
 
