@@ -6,13 +6,15 @@ import itertools
 import math
 
 from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 from . import graph as G
 from .scale import lowest_hashes, salted_join
+from .vectors import training_parts
 
 def _empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
@@ -348,10 +350,10 @@ def random_walks(nodes: DataFrame, adjacency: DataFrame, walks: int = 80, length
     return state.select("start", "walk", "path")
 
 
-def node_embeddings(nodes: DataFrame, walks: DataFrame, dim: int = 64, window: int = 10, seed: int = 42, epochs: int = 1) -> DataFrame:
+def node_embeddings(nodes: DataFrame, walks: DataFrame, dim: int = 64, window: int = 10, seed: int = 42, epochs: int = 5) -> DataFrame:
     """``(id, vec)``: skip-gram vectors over the walks, zeros for nodes without one."""
     text = walks.select(F.transform("path", lambda x: x.cast("string")).alias("words"))
-    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=0, seed=seed, maxIter=epochs, numPartitions=8,
+    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=0, seed=seed, maxIter=epochs, numPartitions=training_parts(text),
                      inputCol="words", outputCol="v").fit(text)
     id_type = nodes.schema["id"].dataType
     found = model.getVectors().select(F.col("word").cast(id_type).alias("id"), vector_to_array("vector").alias("vec"))
@@ -361,10 +363,10 @@ def node_embeddings(nodes: DataFrame, walks: DataFrame, dim: int = 64, window: i
 
 def neighbour_means(nodes: DataFrame, adjacency: DataFrame, known: DataFrame, dim: int, seed: int = 42) -> DataFrame:
     """``(id, vec)``: known vectors as they are, others the mean of known neighbours, else a seeded small vector."""
-    parts = known.select(F.col("id").alias("dst"), F.posexplode("vec").alias("d", "x"))
+    parts = known.where("vec IS NOT NULL").select(F.col("id").alias("dst"), array_to_vector("vec").alias("v"))
     ask = salted_join(adjacency.select("src", "dst"), known.select(F.col("id").alias("src")), "src", "dst", "left_anti")
-    means = ask.join(parts, "dst").groupBy("src", "d").agg(F.avg("x").alias("x")).groupBy(F.col("src").alias("id")).agg(
-        F.array_sort(F.collect_list(F.struct("d", "x"))).alias("r")).select("id", F.col("r.x").alias("mean"))
+    near = salted_join(ask, parts, "dst", "src")
+    means = near.groupBy(F.col("src").alias("id")).agg(Summarizer.mean(F.col("v")).alias("m")).select("id", vector_to_array("m").alias("mean"))
     draws = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: (
         F.pmod(F.xxhash64(F.col("id"), d, F.lit(seed)), F.lit(2_000_001)) - 1_000_000) / 1e7)
     joined = nodes.select("id").join(known.select("id", "vec"), "id", "left").join(means, "id", "left")

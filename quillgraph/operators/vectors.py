@@ -9,6 +9,7 @@ from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import PCA, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import IndexedRowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
@@ -23,15 +24,12 @@ from .scale import salted_join
 def centroids(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     """``(cluster, centroid, size)`` of ``vectors(id, vec)`` under ``labels(id, cluster)``.
 
-    Means are taken per position, so a cluster of any size is only ever a
-    partial sum of its dimensions.
+    Vectors are summed before the shuffle, so a cluster of any size is only ever
+    one partial sum per task.  Null vectors do not count.
     """
-    joined = vectors.join(labels, "id")
-    parts = joined.select("cluster", F.posexplode("vec").alias("i", "x")).groupBy("cluster", "i").agg(
-        F.avg("x").alias("x"), F.count("*").alias("size"))
-    return parts.groupBy("cluster").agg(
-        F.array_sort(F.collect_list(F.struct("i", "x"))).alias("r"), F.max("size").alias("size")
-    ).select("cluster", F.col("r.x").alias("centroid"), "size")
+    joined = vectors.where("vec IS NOT NULL").join(labels, "id").select("cluster", array_to_vector("vec").alias("v"))
+    return joined.groupBy("cluster").agg(Summarizer.mean(F.col("v")).alias("m"), F.count("*").alias("size")).select(
+        "cluster", vector_to_array("m").alias("centroid"), "size")
 
 
 def encode(df: DataFrame, encoder: Callable[[], Callable], batch_size: int = 32,
@@ -65,13 +63,18 @@ def hashed_encoder(dim: int = 64) -> Callable[[], Callable]:
     return make
 
 
+def training_parts(df: DataFrame, rows: int = 50_000) -> int:
+    """Tasks that train on ``df``: one for every ``rows`` rows, 8 at least."""
+    return max(8, -(-df.count() // rows))
+
+
 def doc_vectors(bags: DataFrame, dim: int = 100, min_count: int = 2, seed: int = 42, epochs: int = 20) -> DataFrame:
     """``(id, vec)``: the mean of the skip-gram vectors of a document's words.
 
     This is another model than a trained paragraph vector; it gives a document
     embedding of the same shape and use.
     """
-    model = Word2Vec(vectorSize=dim, minCount=min_count, seed=seed, maxIter=epochs, numPartitions=8,
+    model = Word2Vec(vectorSize=dim, minCount=min_count, seed=seed, maxIter=epochs, numPartitions=training_parts(bags),
                      inputCol="words", outputCol="v").fit(bags)
     return model.transform(bags).select(F.col("doc_id").alias("id"), vector_to_array("v").alias("vec"))
 

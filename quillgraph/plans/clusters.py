@@ -111,7 +111,7 @@ def max_scale(spark, folder):
 
 @query("v1_doc_vectors")
 def doc_vectors(spark, folder):
-    return V.doc_vectors(cut(document_bags(spark, folder)), 32, 2, 42, 1)
+    return V.doc_vectors(cut(document_bags(spark, folder)))
 
 
 @query("v2_lda_doc_topics")
@@ -326,7 +326,14 @@ def adjusted_rand(spark, folder):
     return U.evaluate_labels(given_labels(spark, folder), class_labels(spark, folder)).select("ari")
 
 
-@query("c18_evaluate_labels")
+EXPECTED = """ms AS (SELECT sum(n) AS s FROM cell GROUP BY a), mt AS (SELECT sum(n) AS t FROM cell GROUP BY b),
+met AS (SELECT s, t, al.n AS n, unnest(range(greatest(1, s + t - al.n)::BIGINT, least(s, t)::BIGINT + 1))::DOUBLE AS k FROM ms CROSS JOIN mt CROSS JOIN al),
+emi AS (SELECT sum(k / n * ln(n * k / (s * t)) * exp(lgamma(s + 1) + lgamma(t + 1) + lgamma(n - s + 1) + lgamma(n - t + 1) - lgamma(n + 1)
+  - lgamma(k + 1) - lgamma(s - k + 1) - lgamma(t - k + 1) - lgamma(n - s - t + k + 1))) AS emi FROM met)"""
+
+
+@query("c18_evaluate_labels", f"""WITH {BOTH}, {_agreement_sql('source', 'lang')}, {EXPECTED}
+SELECT agree.ari, round((ha + hb - hab - emi) / ((ha + hb) / 2 - emi), 6) AS ami FROM agree, m, emi""")
 def evaluate_labels(spark, folder):
     return U.evaluate_labels(given_labels(spark, folder), class_labels(spark, folder))
 

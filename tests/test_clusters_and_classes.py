@@ -170,3 +170,10 @@ def test_report(spark):
     assert rows["accuracy"]["f1"] == 0.666667 and rows["a"]["recall"] == 0.5 and rows["b"]["precision"] == 0.5
     table = {r["label"]: (r["a"], r["b"]) for r in M.confusion(pred, ["a", "b"]).collect()}
     assert table == {"a": (0.5, 0.5), "b": (0.0, 1.0)}
+
+
+def test_weighted_f1(spark):
+    rows = [("r", "m", "a", "a"), ("r", "m", "a", "b"), ("r", "m", "b", "b"), ("r", "n", "a", "b")]
+    pred = spark.createDataFrame(rows, "representation string, model string, label string, prediction string")
+    got = {r["model"]: r["f1"] for r in M.weighted_f1(pred, ["representation", "model"]).collect()}
+    assert got == {"m": 0.666667, "n": 0.0}
