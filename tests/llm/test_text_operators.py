@@ -255,3 +255,37 @@ def test_decontamination(spark, docs, edge, none, clash):
     assert {(r["doc_id"], r["item_id"], r["edits"]) for r in decontaminate.leaks(clash, odd).collect()} == {(5, 4, 0), (6, 4, 0)}
     assert decontaminate.leaks(edge, odd.limit(0)).isEmpty() and decontaminate.leaks(none, odd).isEmpty()
     assert decontaminate.keep_clean(edge, odd).columns == edge.columns and decontaminate.keep_clean(edge, odd).count() == edge.count() - 3
+
+
+def test_decontamination_recall(spark, docs):
+    rng = np.random.default_rng(12)
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    texts = [r["text"] for r in docs.collect() if r["text"] and len(r["text"]) > 600]
+    whole = [decontaminate.fold(r["text"]) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    items = {"whole": whole, "80-160": [t[:int(rng.integers(80, 161))] for t in whole], "24-48": [t[:int(rng.integers(24, 49))] for t in whole]}
+
+    def edited(t, share):
+        t = list(t)
+        for p in sorted(rng.choice(len(t), int(share * len(t)), replace=False))[::-1]:
+            kind, c = rng.integers(3), str(rng.choice(letters))
+            t[p:p + 1] = [[c], [], [c, t[p]]][kind]
+        return "".join(t)
+
+    for own in items.values():
+        table = spark.createDataFrame(list(enumerate(own)), "item_id bigint, text string")
+        shares = [0.15, 0.2, 0.3] * 2
+        rows = [(1000 * s + i, f"{texts[i % len(texts)][:300]} {edited(t, share)} {texts[(i + 7) % len(texts)][:300]}")
+                for s, share in enumerate(shares) for i, t in enumerate(own)]
+        found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), table).collect()
+        got = {(r["doc_id"], r["item_id"]) for r in found}
+        for s, least in enumerate([0.97, 0.97, 0.95]):
+            assert np.mean([(1000 * (s + 3 * k) + i, i) in got for k in (0, 1) for i in range(len(own))]) >= least
+        folded = {d: decontaminate.fold(t) for d, t in rows}
+        assert all(slow_match(own[r["item_id"]], folded[r["doc_id"]]) <= r["edits"] <= 0.3 * len(own[r["item_id"]]) for r in found[::40])
+
+
+def test_decontamination_short_items(spark):
+    items = spark.createDataFrame([(1, "Ünder 24 chars"), (2, "not here"), (3, ""), (4, None), (5, "z" * 23)], "item_id bigint, text string")
+    rows = spark.createDataFrame([(1, "é it is ÜNDER\t24 chars?"), (2, "ünder"), (3, None), (4, "z" * 30)], "doc_id bigint, text string")
+    assert {tuple(r) for r in decontaminate.leaks(rows, items).collect()} == {(1, 1, 0, 8, 22), (4, 5, 0, 0, 23)}
+    assert {r["doc_id"] for r in decontaminate.keep_clean(rows, items).collect()} == {2, 3}
