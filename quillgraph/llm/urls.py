@@ -12,8 +12,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scale import salted_join
+
 SAMPLE = 20_000    # judged URLs that the trees learn from, about
-SUFFIXES = 5_000   # the most frequent suffixes have statistics of their own
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 # (verdict, host, path): fixed rules.
@@ -69,21 +70,32 @@ def features(url: str = "_url", host: str = "_host", path: str = "_path") -> dic
 
 
 def suffix_statistics(rows: DataFrame) -> DataFrame:
-    """``(suffix, f_seen, f_allowed)`` of the most frequent host suffixes of one or two labels: the logarithm of the
-    number of URLs, and the smoothed share of those allowed among those with a verdict.  At most ``SUFFIXES`` rows."""
+    """``(suffix, f_seen, f_allowed)`` of every host suffix of one or two labels: the logarithm of the
+    number of URLs, and the smoothed share of those allowed among those with a verdict."""
     long = rows.select(F.explode(F.array_distinct(F.array("_s1", "_s2"))).alias("suffix"), "_given")
     found = long.groupBy("suffix").agg(
         F.count("*").alias("n"), F.sum((F.col("_given") == "allow").cast("int")).alias("good"), F.count("_given").alias("known"))
-    top = found.orderBy(F.desc("n"), "suffix").limit(SUFFIXES)
-    return top.select("suffix", F.log1p("n").alias("f_seen"), ((F.coalesce("good", F.lit(0)) + 1) / (F.col("known") + 2)).alias("f_allowed"))
+    return found.select("suffix", F.log1p("n").alias("f_seen"), ((F.coalesce("good", F.lit(0)) + 1) / (F.col("known") + 2)).alias("f_allowed"))
+
+
+def learning_sample(rows: DataFrame, seen: dict[str, int], sample: int, key: list[str], given: str = "_given") -> DataFrame:
+    """About ``sample`` of the ``rows`` with a verdict, half of either one as far as there are, by a hash of the ``key``
+    columns, with ``_weight``, which gives the verdicts their shares among all rows back."""
+    kinds = {k: min(n, max(sample / 2, sample - sum(seen.values()) + n)) / n for k, n in seen.items()}
+    share, weight = F.lit(0.0), F.lit(0.0)
+    for kind, part in kinds.items():
+        share = F.when(F.col(given) == kind, F.lit(part)).otherwise(share)
+        weight = F.when(F.col(given) == kind, F.lit(1 / part)).otherwise(weight)
+    spot = F.pmod(F.xxhash64(*[F.col(k) for k in key], F.lit(3)), F.lit(1 << 30))
+    return rows.where(F.col(given).isNotNull() & (spot < share * (1 << 30))).withColumn("_weight", weight)
 
 
 def verdicts(df: DataFrame, rules=RULES, url: str = "url", sample: int = SAMPLE, rounds: int = 15, depth: int = 4) -> DataFrame:
     """``df`` with ``host``, ``path``, ``rule`` (null if none fits), ``verdict`` (allow or block) and ``score``.
 
     A rule's verdict holds; for other URLs, null and malformed ones included,
-    the trees decide (``score`` is their chance of allow).  They learn from a
-    hash sample of about ``sample`` URLs with a rule.  If the rules gave one
+    the trees decide (``score`` is their chance of allow).  They learn from about
+    ``sample`` rows with a rule, see ``learning_sample``.  If the rules gave one
     verdict only, it holds for all, and ``allow`` if they gave none.
     """
     new = ["host", "path", "rule", "verdict", "score"]
@@ -100,18 +112,18 @@ def verdicts(df: DataFrame, rules=RULES, url: str = "url", sample: int = SAMPLE,
     if len(seen) < 2:
         only = next(iter(seen), "allow")
         return rows.select(*names, *own, F.coalesce("_given", F.lit(only)).alias("verdict"), F.lit(float(only == "allow")).alias("score"))
-    statistics = F.broadcast(suffix_statistics(rows))
-    measured = rows.withColumns(features())
+    statistics = suffix_statistics(rows)
+    key = [f"_c{i}" for i, c in enumerate(kept) if "map<" not in df.schema[c].dataType.simpleString()] + ["_url"]
+    measured = rows.withColumn("_spot", F.xxhash64(*key))
     for name in ("s1", "s2"):
         own_name = statistics.select(F.col("suffix").alias(f"_{name}"), F.col("f_seen").alias(f"f_seen_{name}"), F.col("f_allowed").alias(f"f_allowed_{name}"))
-        measured = measured.join(own_name, f"_{name}", "left")
+        measured = salted_join(measured, own_name, f"_{name}", "_spot", "left")
+    measured = measured.withColumns(features())
     measured = measured.fillna({"f_seen_s1": 0.0, "f_seen_s2": 0.0, "f_allowed_s1": 0.5, "f_allowed_s2": 0.5})
     inputs = sorted(c for c in measured.columns if c.startswith("f_"))
     ready = VectorAssembler(inputCols=inputs, outputCol="_x").transform(measured)
-    share = min(1.0, sample / sum(seen.values()))
-    learned = ready.where(F.col("_given").isNotNull() & (F.pmod(F.xxhash64("_url", F.lit(3)), F.lit(1 << 30)) < share * (1 << 30)))
-    learned = learned.select("_x", (F.col("_given") == "allow").cast("double").alias("_y"))
-    trees = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=rounds, maxDepth=depth, maxBins=64, seed=5).fit(learned)
+    learned = learning_sample(ready, seen, sample, key).select("_x", (F.col("_given") == "allow").cast("double").alias("_y"), "_weight")
+    trees = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_weight", maxIter=rounds, maxDepth=depth, maxBins=64, seed=5).fit(learned)
     rated = trees.transform(ready).withColumn("_score", vector_to_array("probability")[1])
     chosen = F.coalesce("_given", F.when(F.col("_score") >= 0.5, "allow").otherwise("block"))
     return rated.select(*names, *own, chosen.alias("verdict"), F.col("_score").alias("score"))

@@ -240,3 +240,15 @@ def test_pipeline_is_registered_and_runs_on_odd_tables(spark, edge, none):
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     for stage in (s for _, s in corpus_pipeline.STAGES):
         assert stage(spark, none, FOLDER).isEmpty() and stage(spark, edge, FOLDER).count() > 0
+
+
+def test_url_tail_and_sample(spark):
+    given = F.when(F.col("id") < 6000, F.when(F.col("id") % 2 == 0, "allow").otherwise("block"))
+    hosts = spark.range(7000).select(F.lit("net").alias("_s1"), F.format_string("d%d.net", "id").alias("_s2"), given.alias("_given"))
+    found = {r["suffix"]: r for r in urls.suffix_statistics(hosts).collect()}
+    assert len(found) == 7001 and [round(found[f"d{i}.net"]["f_allowed"], 6) for i in (4, 5, 6500)] == [0.666667, 0.333333, 0.5]
+    # One verdict of a few rows among many, all of one URL: the few are all there, the many in part, and the weights make up for it.
+    rows = spark.range(20_000).select("id", F.lit("http://com/").alias("_url"), F.when(F.col("id") < 5, "block").otherwise("allow").alias("_given"))
+    learned = urls.learning_sample(rows, {"allow": 19_995, "block": 5}, 1000, ["id", "_url"]).groupBy("_given").agg(F.count("*").alias("n"), F.sum("_weight").alias("w"))
+    by = {r["_given"]: (r["n"], r["w"]) for r in learned.collect()}
+    assert by["block"] == (5, 5.0) and 850 < by["allow"][0] < 1150 and abs(by["allow"][1] - 19_995) < 3000
