@@ -1,8 +1,8 @@
-"""Toxicity from two Kneser-Ney word models, one learned from toxic and one from ordinary texts.
+"""Toxicity from two word models, one learned from toxic and one from ordinary texts.
 
-Both models are interpolated bigram models.  Below the bigrams of a class stand
-its continuation counts (in how many texts, rather than how often, a word
-occurs), and below those the continuation counts of both classes together, so
+Both models interpolate discounted joint shares of pairs; they are not Kneser-Ney models.  Below
+the pairs of a class stand its text counts (in how many texts, rather than how often, a word
+occurs), and below those the text counts of both classes together, so
 that a rare word or expression says little about the class.  A text is compared by the
 length-normalised log-likelihoods of its windows and of the whole, and the two
 differences become a score by logistic regression on texts kept out of the counts.
