@@ -177,3 +177,18 @@ def test_weighted_f1(spark):
     pred = spark.createDataFrame(rows, "representation string, model string, label string, prediction string")
     got = {r["model"]: r["f1"] for r in M.weighted_f1(pred, ["representation", "model"]).collect()}
     assert got == {"m": 0.666667, "n": 0.0}
+
+
+def test_feature_importance_has_the_whole_vocabulary(spark, monkeypatch):
+    from quillgraph.plans import classes
+
+    seen, train = [], classes.M.train
+
+    def spied(df, kind, label, **options):
+        seen.append((df.first()["features"].size, options))
+        return train(df, kind, label, **options)
+
+    monkeypatch.setattr(classes.M, "train", spied)
+    folder = "/root/testdata/sf0.01"
+    assert classes.feature_importance(spark, folder).count() > 0
+    assert seen == [(classes.document_index(spark, folder)[1].count(), {})] and seen[0][0] > 1000
