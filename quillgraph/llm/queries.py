@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, lattice, lm, pii, shards, simhash, toxicity, urls
+from . import alignment, bpe, decontaminate, language, lattice, lines, lm, pii, resample, shards, simhash, toxicity, urls
 from .words import fold
 
 QUERIES = {}
@@ -96,3 +96,71 @@ def op3(spark, folder):
     docs = table(spark, folder, "documents")
     rows = lm.score(docs, fold("doc_id", 7) != 2)
     return rows.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+FOLDED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op11_importance_resampling", sql=f"""
+WITH crc AS (
+    SELECT list(list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END, i) ORDER BY i) AS t
+    FROM range(256) AS bytes(i)),
+texts AS (
+    SELECT 0 AS side, row_number() OVER () AS r, doc_id, {FOLDED.format("coalesce(text, '')")} AS text FROM documents
+    UNION ALL SELECT 1, row_number() OVER (), NULL, {FOLDED.format("coalesce(text, '')")} FROM benchmark),
+words AS (SELECT side, r, unnest(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM texts),
+named AS (SELECT word, hex(encode(word)) AS h FROM words GROUP BY word),
+hashed AS (
+    SELECT word, xor(4294967295, list_reduce(
+        list_transform(range(length(h) // 2), lambda j: ('0x' || substr(h, (2 * j + 1)::INT, 2))::BIGINT),
+        lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295)) % 10000 AS bucket
+    FROM named, crc),
+found AS (SELECT side, r, bucket, count(*) AS n FROM words JOIN hashed USING (word) GROUP BY ALL),
+totals AS (
+    SELECT (SELECT coalesce(sum(n), 0) FROM found WHERE side = 0)::DOUBLE + 10000 AS s,
+        (SELECT coalesce(sum(n), 0) FROM found WHERE side = 1)::DOUBLE + 10000 AS t),
+counts AS (
+    SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 1), 0)::DOUBLE AS t
+    FROM found GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((c.t + 1) * a.s / ((c.s + 1) * a.t)))::BIGINT AS gain FROM counts c, totals a),
+weights AS (
+    SELECT r, sum(n)::BIGINT AS n, floor(sum(n * gain)::DOUBLE / sum(n)::DOUBLE)::BIGINT AS weight
+    FROM found JOIN gains USING (bucket) WHERE side = 0 GROUP BY r),
+scored AS (
+    SELECT r, doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+        (('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score
+    FROM texts LEFT JOIN weights USING (r) WHERE side = 0),
+placed AS (
+    SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, r) AS place, count(*) OVER () AS many
+    FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * many // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed USING (r)
+""")
+def op11(spark, folder):
+    rows = resample.resample(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark, folder):
+    rows = alignment.align(table(spark, folder, "documents").select("doc_id", "text"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    rows = alignment.with_counts(rows.select(*[c for c in rows.columns if c not in ("groups", "text")], digest))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op13_line_dedup", sql=f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS own FROM documents),
+lines AS (SELECT r, doc_id, unnest(own) AS line, unnest(range(len(own))) AS pos FROM docs),
+keyed AS (
+    SELECT *, {FOLDED.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM lines),
+often AS (
+    SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT r) >= 5),
+judged AS (SELECT k.*, o.key IS NOT NULL AND k.doc_id IS DISTINCT FROM o.keeper AS gone FROM keyed k LEFT JOIN often o USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY r, doc_id
+""")
+def op13(spark, folder):
+    rows = lines.drop_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
