@@ -166,5 +166,5 @@ def drop_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     kept = F.when(F.col("drops").isNull(), F.coalesce(F.col("row")[text], F.lit(""))).otherwise(
         F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
     dropped = F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")).cast("bigint")
-    others = [F.col("row")[c].alias(c) for c in df.columns if c.lower() not in new]
-    return rows.select(*others, F.size("lines").cast("bigint").alias("n_lines"), dropped.alias("n_dropped"), kept.alias("kept"))
+    done = rows.select("row", F.struct(F.size("lines").cast("bigint").alias("n_lines"), dropped.alias("n_dropped"), kept.alias("kept")).alias("found"))
+    return done.select(*[F.col("row")[c].alias(c) for c in df.columns if c.lower() not in new], "found.*")
