@@ -98,13 +98,47 @@ def _final_y(word: Column) -> Column:
     ).otherwise(word)
 
 
+# What a list cell's automaton can be doing, and what it reads at a time: an escape, a run of plain characters or of space, a sign.
+OPENING, WANTED, SINGLE, DOUBLE, DONE, CLOSED, BROKEN = range(7)
+LEXEME = r"""(?s)\\.|[^'"\\,\[\]\s]+|\s+|."""
+BARE_ITEM = r"^([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|True|False|None)$"
+
+
 def parse_list(c) -> Column:
-    """Quoted items of a ``['a', "b"]`` cell; anything not in brackets is an empty list."""
-    cell = F.trim(_col(c))
-    quoted = F.regexp_extract_all(cell, F.lit("""'([^']*)'|"([^"]*)\""""), F.lit(0))
-    items = F.transform(quoted, lambda q: q.substr(F.lit(2), F.length(q) - 2))
-    is_list = cell.startswith("[") & cell.endswith("]")
-    return F.when(is_list, items).otherwise(F.array().cast("array<string>"))
+    r"""Items of a ``['a', "b", 3]`` cell as strings; what is no such list is an empty one.
+
+    An automaton is folded over the cell.  Items are quoted either way, or bare
+    numbers and True, False, None, which keep their spelling; they are parted
+    by single commas, one may follow the last.  In quotes ``\'``, ``\"``,
+    ``\\``, ``\n`` and ``\t`` are one character, any other backslash stays.
+    Nested lists, bare words, adjacent or unclosed quotes and text around the
+    brackets break the cell.  Null is an empty list.
+    """
+    cell = F.trim(F.coalesce(_col(c), F.lit("")))
+
+    def step(a: Column, x: Column) -> Column:
+        state = a["state"]
+        inside = state.isin(SINGLE, DOUBLE)
+        ends = ((state == SINGLE) & (x == "'")) | ((state == DOUBLE) & (x == '"'))
+        bare = (state == WANTED) & x.rlike(BARE_ITEM)
+        space = F.trim(x, F.lit(" \t\n\r\f\v")) == ""
+        follows = (
+            F.when(inside, F.when(ends, DONE).otherwise(state))
+            .when(state == WANTED, F.when(x == "'", SINGLE).when(x == '"', DOUBLE).when(x == "]", CLOSED).when(bare, DONE)
+                  .when(space, WANTED).otherwise(BROKEN))
+            .when(state == DONE, F.when(x == ",", WANTED).when(x == "]", CLOSED).when(space, DONE).otherwise(BROKEN))
+            .when((state == OPENING) & (x == "["), WANTED)
+            .otherwise(BROKEN))
+        second = x.substr(2, 1)
+        plain = F.when(~x.startswith("\\"), x).when(second.isin("'", '"', "\\"), second).when(second == "n", "\n").when(second == "t", "\t").otherwise(x)
+        item = F.when(inside & ~ends, F.concat(a["item"], plain)).otherwise(F.lit(""))
+        items = F.when(ends, F.array_append(a["items"], a["item"])).when(bare, F.array_append(a["items"], x)).otherwise(a["items"])
+        return F.struct(follows.alias("state"), item.alias("item"), items.alias("items"))
+
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lit(OPENING).alias("state"), F.lit("").alias("item"), none.alias("items"))
+    read = F.regexp_extract_all(cell, F.lit(LEXEME), F.lit(0))
+    return F.aggregate(read, start, step, lambda a: F.when(a["state"] == CLOSED, a["items"]).otherwise(none))
 
 
 def combined_text(title, abstract, title_weight: int = 1) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import itertools
 import math
 
-from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -13,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from . import graph as G
+from .embeddings import train, window_pairs
 from .scale import lowest_hashes, salted_join
-from .vectors import training_parts
 
 def _empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
@@ -210,9 +209,9 @@ def pagerank(
     """``(id, rank)``: weighted PageRank from a uniform start; dangling rank is spread evenly.
 
     Stops when the ranks moved less than ``tol`` per node in sum, and fails if
-    they never do; ``tol=0`` runs exactly ``rounds``.
+    they never do; ``tol=0`` runs exactly ``rounds``.  No nodes give no rows.
     """
-    n = float(nodes.count())
+    n = float(max(nodes.count(), 1))
     out = adjacency.groupBy(F.col("src")).agg(F.sum("weight").alias("out"))
     shares = cut(salted_join(adjacency.select("src", "dst", "weight"), out, "src", "dst").select(
         "src", "dst", (F.col("weight") / F.col("out")).alias("share")))
@@ -350,13 +349,9 @@ def random_walks(nodes: DataFrame, adjacency: DataFrame, walks: int = 80, length
     return state.select("start", "walk", "path")
 
 
-def node_embeddings(nodes: DataFrame, walks: DataFrame, dim: int = 64, window: int = 10, seed: int = 42, epochs: int = 1) -> DataFrame:
-    """``(id, vec)``: skip-gram vectors over the walks, zeros for nodes without one."""
-    text = walks.select(F.transform("path", lambda x: x.cast("string")).alias("words"))
-    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=0, seed=seed, maxIter=epochs, numPartitions=training_parts(text),
-                     inputCol="words", outputCol="v").fit(text)
-    id_type = nodes.schema["id"].dataType
-    found = model.getVectors().select(F.col("word").cast(id_type).alias("id"), vector_to_array("vector").alias("vec"))
+def node_embeddings(nodes: DataFrame, walks: DataFrame, dim: int = 64, window: int = 10, seed: int = 42, epochs: int = 5) -> DataFrame:
+    """``(id, vec)``: skip-gram vectors over the walks, zeros for nodes without a neighbour in any."""
+    found, _ = train(window_pairs(walks, window), dim, epochs, seed=seed)
     zeros = F.array_repeat(F.lit(0.0), dim)
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("vec", zeros).alias("vec"))
 

@@ -6,18 +6,18 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import PCA, VectorAssembler, Word2Vec
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
-from pyspark.mllib.linalg.distributed import IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.vectors import unit
 from ..session import cut
+from .embeddings import train, word_pairs
+from .factors import svd
 from .scale import salted_join
 
 
@@ -63,20 +63,16 @@ def hashed_encoder(dim: int = 64) -> Callable[[], Callable]:
     return make
 
 
-def training_parts(df: DataFrame, rows: int = 50_000) -> int:
-    """Tasks that train on ``df``: one for every ``rows`` rows, 8 at least."""
-    return max(8, -(-df.count() // rows))
-
-
 def doc_vectors(bags: DataFrame, dim: int = 100, min_count: int = 2, seed: int = 42, epochs: int = 20) -> DataFrame:
-    """``(id, vec)``: the mean of the skip-gram vectors of a document's words.
+    """``(id, vec)``: paragraph vectors, the distributed bag of words of each document of ``bags(doc_id, words)``.
 
-    This is another model than a trained paragraph vector; it gives a document
-    embedding of the same shape and use.
+    A document's vector is trained to tell its own words from chance; words
+    that the corpus has fewer than ``min_count`` times are left out, and a
+    document without any other gets zeros.
     """
-    model = Word2Vec(vectorSize=dim, minCount=min_count, seed=seed, maxIter=epochs, numPartitions=training_parts(bags),
-                     inputCol="words", outputCol="v").fit(bags)
-    return model.transform(bags).select(F.col("doc_id").alias("id"), vector_to_array("v").alias("vec"))
+    found, _ = train(word_pairs(bags, min_count), dim, epochs, rate=0.1, seed=seed)
+    ids = bags.select(F.col("doc_id").alias("id")).distinct()
+    return ids.join(found, "id", "left").select("id", F.coalesce("vec", F.array_repeat(F.lit(0.0), dim)).alias("vec"))
 
 
 def term_numbers(vocab: DataFrame) -> DataFrame:
@@ -94,18 +90,19 @@ def term_numbers(vocab: DataFrame) -> DataFrame:
     return placed.withColumn("r", inside).join(before, "part").select("term", (F.col("offset") + F.col("r") - 1).cast("int").alias("j"))
 
 
-@F.udf(returnType=VectorUDT())
-def _sparse(size, entries):
-    return SparseVector(size, [e["j"] for e in entries], [float(e["x"]) for e in entries])
-
-
 def sparse_rows(index: DataFrame, numbers: DataFrame, weight: str = "w") -> DataFrame:
-    """``(doc_id, features)``: one sparse vector per document, for Spark ML."""
+    """``(doc_id, features)``: one sparse vector per document, for Spark ML.
+
+    A sparse vector is stored as four fields, so that the fields are written
+    and read back as vectors; no row passes through Python.
+    """
     numbered = salted_join(index, numbers, "term", "doc_id")
     size = numbers.agg(F.count("*").cast("int").alias("n"))
     rows = numbered.groupBy("doc_id").agg(F.array_sort(F.collect_list(
-        F.struct("j", F.col(weight).cast("double").alias("x")))).alias("entries"))
-    return rows.withColumn("_size", size.scalar()).select("doc_id", _sparse("_size", "entries").alias("features"))
+        F.struct("j", F.col(weight).cast("double").alias("x")))).alias("e"))
+    fields = F.struct(F.lit(0).cast("tinyint").alias("type"), F.col("_size").alias("size"), F.col("e.j").alias("indices"), F.col("e.x").alias("values"))
+    plain = rows.withColumn("_size", size.scalar()).select("doc_id", fields.alias("features"))
+    return cut(plain, StructType([plain.schema["doc_id"], StructField("features", VectorUDT())]))
 
 
 def lda(index: DataFrame, vocab: DataFrame, k: int, iterations: int = 20, seed: int = 42, terms: int = 10):
@@ -114,7 +111,7 @@ def lda(index: DataFrame, vocab: DataFrame, k: int, iterations: int = 20, seed:
     Every iteration reads all documents, not a sample of them.
     """
     numbers = cut(term_numbers(vocab))
-    rows = cut(sparse_rows(index, numbers, "tf"))
+    rows = sparse_rows(index, numbers, "tf")
     model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0, optimizeDocConcentration=True).fit(rows)
     p = model.transform(rows).select("doc_id", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "p"))
     described = model.describeTopics(terms).select(
@@ -153,27 +150,15 @@ def pca(vectors: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
     return out, [float(x) for x in model.explainedVariance]
 
 
-def truncated_svd(index: DataFrame, vocab: DataFrame, k: int) -> tuple[DataFrame, list[float], DataFrame]:
-    """``(vectors, singular values, explained)`` of the sparse index, rows projected as U*s.
+def truncated_svd(index: DataFrame, k: int, weight: str = "w") -> tuple[DataFrame, list[float], DataFrame]:
+    """``(vectors, singular values, explained)`` of the sparse index, rows projected as U*s; see ``factors.svd``."""
+    return svd(index.select(F.col("doc_id").alias("r"), F.col("term").alias("c"), F.col(weight).alias("x")), k)
 
-    Rows stay sparse and distributed; only the ``terms x k`` factor meets the driver.
-    """
-    rows = cut(sparse_rows(index, cut(term_numbers(vocab))))
-    return svd_rows(rows, k)
-
-
-def svd_rows(rows: DataFrame, k: int) -> tuple[DataFrame, list[float], DataFrame]:
-    """SVD of ``rows(doc_id, features)``; see :func:`truncated_svd`."""
-    old = MLUtils.convertVectorColumnsFromML(rows, "features")
-    matrix = IndexedRowMatrix(old.select(F.col("doc_id").cast("bigint").alias("index"), F.col("features").alias("vector")))
-    found = matrix.computeSVD(k, computeU=True)
-    sigma = [float(x) for x in found.s.toArray()]
-    u = found.U.rows.map(lambda r: (r.index, [float(a) for a in r.vector.toArray()])).toDF("id bigint, u array<double>")
-    scaled = F.transform("u", lambda x, i: x * F.array(*[F.lit(s) for s in sigma])[i])
-    vectors = u.select("id", scaled.alias("vec"))
-    explained = vectors.select(F.posexplode("vec").alias("component", "x")).groupBy("component").agg(
-        F.var_pop("x").alias("variance"))
-    return vectors, sigma, explained
+
+def adjacency_svd(edges: DataFrame, k: int) -> tuple[DataFrame, list[float], DataFrame]:
+    """The same of the symmetric adjacency of ``edges(src, dst, weight)``, one row a pair."""
+    one = edges.where("src <> dst").select(F.col("src").alias("r"), F.col("dst").alias("c"), F.col("weight").alias("x"))
+    return svd(one.unionByName(one.select(F.col("c").alias("r"), F.col("r").alias("c"), "x")), k)
 
 
 def l2(vectors: DataFrame) -> DataFrame:

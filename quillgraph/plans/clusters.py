@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clustering as C
 from ..operators import index as I
+from ..operators import linkage as L
 from ..operators import profile as P
 from ..operators import quality as U
 from ..operators import tokens as K
@@ -111,7 +112,7 @@ def max_scale(spark, folder):
 
 @query("v1_doc_vectors")
 def doc_vectors(spark, folder):
-    return V.doc_vectors(cut(document_bags(spark, folder)), 32, 2, 42, 1)
+    return V.doc_vectors(cut(document_bags(spark, folder)), 100, 2, 42, 20)
 
 
 @query("v2_lda_doc_topics")
@@ -144,8 +145,12 @@ def pca(spark, folder):
 
 @query("v8_truncated_svd")
 def truncated_svd(spark, folder):
-    index, vocab, _ = document_index(spark, folder)
-    return V.truncated_svd(index, vocab, 20)[0]
+    return V.truncated_svd(document_index(spark, folder)[0], 200)[0]
+
+
+@query("v8_adjacency_svd")
+def adjacency_svd(spark, folder):
+    return V.adjacency_svd(coauthor_network(spark, folder), 100)[0]
 
 
 @query("q7_encode")
@@ -166,6 +171,17 @@ def hierarchical(spark, folder):
     return C.hierarchical(vectors(spark, folder), 8)
 
 
+@query("c2_linkage")
+def linkage(spark, folder):
+    return L.linkage(vectors(spark, folder), 8)
+
+
+@query("c2_merges")
+def linkage_merges(spark, folder):
+    """The dendrogram of the vectors by single linkage."""
+    return L.merges(L.spanning_forest(vectors(spark, folder)))
+
+
 EPS, MIN_SAMPLES = 0.65, 3
 
 
@@ -286,13 +302,17 @@ def topic_central_documents(spark, folder):
 
 @query("c15_svd_kmeans")
 def svd_kmeans(spark, folder):
-    index, vocab, _ = document_index(spark, folder)
-    return C.svd_kmeans(index, vocab, 20, 8)
+    return C.svd_kmeans(document_index(spark, folder)[0], 200, 8)
+
+
+@query("c15_structure_clusters")
+def structure_clusters(spark, folder):
+    return C.structure_clusters(cut(author_nodes(spark, folder)), cut(coauthor_network(spark, folder)), 100, 8)
 
 
 @query("c16_spectral")
 def spectral(spark, folder):
-    return C.spectral(author_nodes(spark, folder), coauthor_network(spark, folder), 8)
+    return C.spectral(cut(author_nodes(spark, folder)), cut(coauthor_network(spark, folder)), 8)
 
 
 def _agreement_sql(a, b):

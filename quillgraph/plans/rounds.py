@@ -185,12 +185,12 @@ def walk_counts(spark, folder):
 @query("g25_node_embeddings")
 def node_embeddings(spark, folder):
     nodes, links, _ = citation_world(spark, folder)
-    return R.node_embeddings(nodes, cut(R.random_walks(nodes, links, 5, 10)), 32, 5)
+    return R.node_embeddings(nodes, cut(R.random_walks(nodes, links, 80, 10)), 64, 10)
 
 
 @query("g26_embed_by_sample")
 def embed_by_sample(spark, folder):
-    return R.embed_by_sample(cut(part_nodes(spark, folder)), cut(undirected(spark, folder)), 30, 32, 5)
+    return R.embed_by_sample(cut(part_nodes(spark, folder)), cut(undirected(spark, folder)), 30, 64, 20)
 
 
 FEATURES = f"""{NET}, node AS (FROM author), {_clustering_sql(False)},

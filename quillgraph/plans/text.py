@@ -109,6 +109,23 @@ def parse_list(spark, folder):
     return parsed.select("doc_id", F.size("items").alias("n"), F.array_join("items", " ").alias("items"))
 
 
+@query("p3_parse_cells", r"""WITH x AS (SELECT doc_id, lang, doc_id % 6 AS kind FROM documents)
+SELECT doc_id, CASE kind WHEN 0 THEN doc_id || '|-1.5|None' WHEN 1 THEN 'it''s ' || lang || '|"x", [y]|\d' WHEN 2 THEN '' WHEN 3 THEN '' WHEN 4 THEN '' ELSE lang END AS items,
+  (CASE kind WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 5 THEN 1 ELSE 0 END)::INT AS n FROM x""")
+def parse_cells(spark, folder):
+    """Bare items, escapes, an empty list, a nested one, an unclosed quote, and a comma after the last item."""
+    kind, lang, number = F.col("doc_id") % 6, F.col("lang"), F.col("doc_id").cast("string")
+    cell = (
+        F.when(kind == 0, F.concat(F.lit("["), number, F.lit(" ,-1.5,None]")))
+        .when(kind == 1, F.concat(F.lit(r"['it\'s "), lang, F.lit(r"""', "\"x\", [y]", '\d']""")))
+        .when(kind == 2, F.lit(" [ ] "))
+        .when(kind == 3, F.concat(F.lit("[["), number, F.lit("], 'a']")))
+        .when(kind == 4, F.concat(F.lit("['"), lang, F.lit(", 'a]")))
+        .otherwise(F.concat(F.lit('["'), lang, F.lit('",]'))))
+    parsed = documents(spark, folder).select("doc_id", T.parse_list(cell).alias("items"))
+    return parsed.select("doc_id", F.array_join("items", "|").alias("items"), F.size("items").alias("n"))
+
+
 @query("p4_combined_text", f"WITH {ARTICLE_SQL} SELECT doc_id, md5(trim(title || ' ' || abstract)) AS digest FROM art")
 def combined(spark, folder):
     return titled(spark, folder).select("doc_id", F.md5(T.combined_text("title", "abstract").cast("binary")).alias("digest"))

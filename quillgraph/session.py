@@ -8,6 +8,7 @@ import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # Runtime re-planning carries most of the skew handling; these are the
 # settings the library expects.  A cluster may set its own.
@@ -58,17 +59,18 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, schema: StructType | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and go on from there.
 
     A written table survives the loss of any executor, ends the lineage, and
     tells the optimiser its true size: the size estimates of a plan that joins
-    round after round grow without bound, those of a file do not.
+    round after round grow without bound, those of a file do not.  ``schema``
+    reads the same fields back under other types.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4()}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def keep(df: DataFrame) -> DataFrame:

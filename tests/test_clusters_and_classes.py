@@ -139,7 +139,7 @@ def test_svd_matches_numpy(spark):
     dense = rng.random((30, 12)) * (rng.random((30, 12)) < 0.4)
     index = spark.createDataFrame(
         [(int(i), f"t{j:02d}", float(dense[i, j])) for i, j in zip(*np.nonzero(dense))], "doc_id bigint, term string, w double")
-    vectors, sigma, _ = V.truncated_svd(index, index.select("term").distinct(), 4)
+    vectors, sigma, _ = V.truncated_svd(index, 4)
     assert sigma == pytest.approx(np.linalg.svd(dense, compute_uv=False)[:4].tolist(), rel=1e-6)
     lengths = np.sqrt(sum(np.array(r["vec"]) ** 2 for r in vectors.collect()))
     assert lengths.tolist() == pytest.approx(sigma, rel=1e-6)
