@@ -8,6 +8,8 @@ merge makes are updated.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import heapq
 import json
 import unicodedata
@@ -25,7 +27,9 @@ WHITE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 PIECES = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0  -     　\p{L}\p{N}]+")
 SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-KNOWN_WORDS = 500_000  # words that a task remembers before it starts anew
+KNOWN_WORDS = 250_000   # words that a task remembers before it starts anew
+KNOWN_CHARS = 8 << 20   # and their characters
+SLICE_BYTES = 2 << 20   # bytes of text (or one text) whose ids and decoded text are held at once
 
 
 def alphabet() -> list[str]:
@@ -157,6 +161,15 @@ def normalise(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
+def give_back() -> None:
+    """Hands memory that is free in this process back to the system, where the system's library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def encode(df: DataFrame, model: dict, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``df`` with ``ids`` (array of token ids) and ``decoded`` (the text that those ids stand for).
 
@@ -173,7 +186,9 @@ def encode(df: DataFrame, model: dict, text: str = "text", ids: str = "ids", dec
         merger = Merger(vocabulary)
         cutter = regex.compile("(" + "|".join(regex.escape(s) for s in special) + ")") if special else None
         tokens = vocabulary["tokens"]
+        give_back()  # what earlier work of the same worker holds
         known: dict[str, int] = {}
+        chars = [0]
         table: list = []  # of the words known: all symbols, where each word's begin, and how many they are
 
         def learn(new: list[str]) -> None:
@@ -190,6 +205,7 @@ def encode(df: DataFrame, model: dict, text: str = "text", ids: str = "ids", dec
             last = np.cumsum(many)
             sizes = run[last] - run[last - many]
             known.update(zip(new, range(len(known), len(known) + len(new))))
+            chars[0] += sum(map(len, new))
             if table:
                 symbols, sizes = np.concatenate([table[0], symbols]), np.concatenate([table[2], sizes])
             table[:] = [symbols, np.cumsum(sizes) - sizes, sizes]
@@ -197,11 +213,13 @@ def encode(df: DataFrame, model: dict, text: str = "text", ids: str = "ids", dec
         def work(column):
             column = column.fill_null("")
             flat, lengths, texts = [np.zeros(0, np.int32)], [], []
-            for first, data, offsets in blocks(column, 48 << 20, 1 << 16):
+            for first, data, offsets in blocks(column, SLICE_BYTES, 1 << 16):
                 values = column.slice(first, len(offsets) - 1)
-                if len(known) > KNOWN_WORDS:
+                if len(known) > KNOWN_WORDS or chars[0] > KNOWN_CHARS:
                     known.clear()
                     table.clear()
+                    chars[0] = 0
+                    give_back()
                 new: set[str] = set()
                 for value in values:
                     new.update(words_of(value.as_py()))
@@ -220,7 +238,7 @@ def encode(df: DataFrame, model: dict, text: str = "text", ids: str = "ids", dec
 
         return work
 
-    return added(df, [text], fields, make)
+    return added(df, [text], fields, make, SLICE_BYTES)
 
 
 def decode(ids: list[int], tokens: list[str]) -> str:

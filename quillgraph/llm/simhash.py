@@ -214,6 +214,18 @@ def links(prints: DataFrame) -> DataFrame:
     return plain.unionByName(_large_buckets(found.where("b IS NULL").select("key", F.col("a").alias("fp"))))
 
 
+def _placed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``(doc_id, fingerprint, component_id, root)``: ``root`` tells components apart that have the same smallest id."""
+    rows = cut(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fingerprint"))
+    prints = rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first"))
+    prints = cut(prints)
+    roots = components(links(prints)).withColumnRenamed("id", "fp")
+    placed = prints.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    table = placed.join(named, "root").select(F.col("fp").alias("fingerprint"), "component_id", "root")
+    return rows.join(table, "fingerprint").select("doc_id", "fingerprint", "component_id", "root")
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row: the smallest id reachable over near fingerprints.
 
@@ -221,26 +233,25 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     that repeat an id are rows of their own; a null id is kept, but names no
     component unless all ids of the component are null.
     """
-    rows = cut(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fingerprint"))
-    prints = rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first"))
-    prints = cut(prints)
-    roots = components(links(prints)).withColumnRenamed("id", "fp")
-    placed = prints.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    table = placed.join(named, "root").select(F.col("fp").alias("fingerprint"), "component_id")
-    return rows.join(table, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return _placed(df, doc_id, text).select("doc_id", "fingerprint", "component_id")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, the one with the smallest id; rows without an id cannot be named and stay.
 
-    Of rows that repeat a kept id one stays.
+    Rows are decided one by one: a row goes if its own text is in a component
+    with a smaller id, or if another row of its id and component stays.  Rows
+    that repeat an id but have unlike texts are in components of their own.
     """
-    found = cut(near_duplicates(docs, doc_id, text))
-    ids = found.where("doc_id IS NOT NULL")
-    rest = docs.join(ids.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_anti")
-    rest = rest.select(*[F.col(f"`{c}`") for c in docs.columns])
-    again = ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    found = cut(_placed(docs, doc_id, text).where("doc_id IS NOT NULL"))
+    again = cut(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    named = F.col("doc_id").alias(doc_id)
+    gone = found.where("doc_id <> component_id").select("doc_id")
+    kept = docs.join(gone.unionByName(again).distinct().select(named), doc_id, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     if again.isEmpty():
-        return rest
-    return rest.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(rest.where(F.col(doc_id).isNull()))
+        return kept
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    more = docs.join(again.select(named), doc_id, "left_semi").select(row, F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    places = found.join(again, "doc_id", "left_semi").where("doc_id = component_id").select("doc_id", "fingerprint", "root").distinct()
+    firsts = fingerprints(more).join(places, ["doc_id", "fingerprint"]).dropDuplicates(["doc_id", "root"])
+    return kept.unionByName(firsts.select("row.*"))

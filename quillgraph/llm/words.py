@@ -120,9 +120,18 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.astype(np.uint64).view(np.int64)
 
 
-def added(df: DataFrame, columns: list[str], fields: list[T.StructField], make: Callable) -> DataFrame:
+def slices(batch: pa.RecordBatch, size: int | None, at: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows: ``SLICE`` of them, with ``size`` no more than that many bytes in column ``at`` (or one row)."""
+    if size is None:
+        yield from (batch.slice(a, SLICE) for a in range(0, batch.num_rows, SLICE))
+    else:
+        yield from (batch.slice(a, len(offsets) - 1) for a, _, offsets in blocks(batch.column(at), size, SLICE))
+
+
+def added(df: DataFrame, columns: list[str], fields: list[T.StructField], make: Callable, size: int | None = None) -> DataFrame:
     """``df`` with new columns from ``make()``, called once a task: a function of ``columns`` (Arrow arrays) that
-    gives the new arrays.  A column of ``df`` that has the name of a new one is replaced."""
+    gives the new arrays.  A column of ``df`` that has the name of a new one is replaced.  ``size`` bounds the
+    bytes of the first of ``columns`` that are handed over at once."""
     new = {f.name.lower() for f in fields}
     kept = [c for c in df.columns if c.lower() not in new]
     inputs = [f"_in_{c}" for c in columns]
@@ -131,7 +140,7 @@ def added(df: DataFrame, columns: list[str], fields: list[T.StructField], make:
 
     def run(batches):
         work = make()
-        for batch in (whole.slice(a, SLICE) for whole in batches for a in range(0, whole.num_rows, SLICE)):
+        for batch in (part for whole in batches for part in slices(whole, size, len(kept))):
             done = work(*[batch.column(len(kept) + i) for i in range(len(inputs))])
             arrays = [batch.column(i) for i in range(len(kept))] + list(done)
             yield pa.RecordBatch.from_arrays(arrays, names=kept + [f.name for f in fields])

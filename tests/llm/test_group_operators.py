@@ -89,6 +89,22 @@ def test_simhash_query(spark, docs, edge, none, clash):
     assert simhash.near_duplicates(none).isEmpty() and simhash.keep_first(none).isEmpty()
 
 
+def test_keep_first_decides_by_row(spark):
+    """Repeated ids with unlike texts, chains over ids, null ids: no text of its own is lost."""
+    a, b, c = ("the old house by the river in spring", "seven ships went out on a cold morning", "a song nobody ever heard before")
+    schema = "doc_id bigint, text string, row bigint"
+    def kept(rows):
+        df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], schema)
+        out = simhash.keep_first(df)
+        assert out.columns == df.columns
+        return sorted((r["doc_id"] or -1, r["text"]) for r in out.collect())
+    assert kept([(3, b), (5, a), (5, b)]) == sorted([(3, b), (5, a)])
+    assert kept([(5, a), (5, b)]) == sorted([(5, a), (5, b)])
+    assert kept([(5, a), (5, a), (5, b), (6, a), (4, b), (7, c)]) == sorted([(5, a), (4, b), (7, c)])
+    assert kept([(9, a), (9, b), (8, b), (8, c), (7, c)]) == sorted([(9, a), (8, b), (7, c)])
+    assert kept([(None, a), (None, a), (2, a), (2, b)]) == sorted([(-1, a), (-1, a), (2, a), (2, b)])
+
+
 def test_lattice_points_are_nearest():
     rng = np.random.default_rng(4)
     grid = rng.normal(0, 1.5, (40, 8))
