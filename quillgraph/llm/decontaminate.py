@@ -4,7 +4,7 @@ A passage within some edits of an item keeps some of the item's short runs of
 bytes, near their places.  An item's seeds are the least likely of its runs (by the
 items' own counts), so that a common phrase raises no guess; every byte of a text is
 looked up among them.  Where enough seeds of an item meet within a band of places,
-and enough of its three-byte runs stand near theirs, the exact edit distance of the whole
+and enough of its four-byte runs stand near theirs, the exact edit distance of the whole
 item to that place decides.  Length and number of the seeds go by the item's length
 (``CLASSES``), for a recall of about 0.98 or more at ``EDITS`` random edits.
 """
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .words import LOWER, SPACES, STEP, SYMBOLS, Index, added, blocks
 
@@ -24,7 +25,7 @@ EDITS = 0.3           # of an item's characters, at most
 # Items from so many characters on: bytes of a seed, share of the runs that are seeds, seeds that must meet.
 CLASSES = [(SHORTEST, 4, 0.8, 2), (48, 4, 0.7, 3), (80, 5, 0.6, 3), (128, 6, 0.55, 3), (200, 7, 0.6, 3)]
 BAND = 16             # half the width of the places that seeds meet in
-WIDE = 32             # three-byte runs may stand so far from their places
+WIDE = 32             # shorter runs may stand so far from their places
 ITEM_BYTES = 8 << 20  # of items that go out at a time
 SIEVE = 44            # low bits of a hash that the sieve of seeds leaves out
 FOLDED = np.where(SPACES, np.uint8(32), LOWER).astype(np.uint8)
@@ -51,10 +52,12 @@ def grams(data: np.ndarray, q: int) -> np.ndarray:
         size *= 2
 
 
-def triples(data: np.ndarray) -> np.ndarray:
-    """Numbers of all runs of three bytes, 16 bits each (few share one by chance)."""
-    wide = data.astype(np.uint16)
-    return wide[:-2] + wide[1:-1] * np.uint16(40503) + wide[2:] * np.uint16(12829)
+RUN = 4               # bytes of the runs that support a place
+
+
+def runs_of(data: np.ndarray) -> np.ndarray:
+    """Numbers of all runs of ``RUN`` bytes, 16 bits each (few share one by chance)."""
+    return (grams(data, RUN) >> np.uint64(48)).astype(np.uint16)
 
 
 def chances(texts: list[np.ndarray]) -> list[np.ndarray]:
@@ -142,16 +145,39 @@ def verified(item: str, text: str, near: list[int]) -> tuple[int, int, int] | No
     return found
 
 
-def supported(item: np.ndarray, text: np.ndarray, guess: int) -> bool:
-    """Whether about as many three-byte runs of ``item`` stand near their places in ``text`` as ``EDITS`` random edits
-    leave (both as ``triples``); with those there by chance, fewer than 1 in 500 such passages has too few."""
+def standing(item: np.ndarray, text: np.ndarray, guess: int) -> int:
+    """How many of the runs of ``item`` stand near their places in ``text``."""
     n, a = len(item), guess - WIDE
-    window = np.zeros(n + 2 * WIDE, np.uint16)
-    low, high = max(a, 0), min(a + len(window), len(text))
-    if low < high:
+    low, high = max(a, 0), min(a + n + 2 * WIDE, len(text))
+    if low >= high:
+        return 0
+    window = text[a:high]
+    if high - low < n + 2 * WIDE or a < 0:
+        window = np.zeros(n + 2 * WIDE, np.uint16)
         window[low - a:high - a] = text[low:high]
-    near = np.ndarray((2 * WIDE + 1, n), np.uint16, window, strides=(2, 2)) == item
-    return np.count_nonzero(np.logical_or.reduce(near)) >= (1 - EDITS) ** 3 * n - 0.25 * n ** 0.5
+    near = np.ndarray((2 * WIDE + 1, n), np.uint16, np.ascontiguousarray(window), strides=(2, 2)) == item
+    return int(np.count_nonzero(np.logical_or.reduce(near)))
+
+
+def supported(item: np.ndarray, text: np.ndarray, guess: int, usual: list[float]) -> bool:
+    """Whether about as many runs of ``item`` stand near their places as ``EDITS`` random edits and chance leave.
+
+    What chance leaves is seen at two other places of the same text, the lesser
+    of them; where the text has no such place, nothing is left to chance.  Some
+    1 in 200 passages with so many edits has too few.  ``usual`` collects what
+    chance left to items in this text; half of the least is expected before
+    the other places are looked at.
+    """
+    n, least = len(item), (1 - EDITS) ** RUN
+    room = 0.8 * n ** 0.5
+    enough = lambda chance: seen >= (least + (1 - least) * chance) * n - room
+    seen = standing(item, text, guess)
+    if not enough(0.5 * min(usual, default=0.0)):
+        return False
+    away = n + -(-n // 2) + 2 * WIDE
+    chance = min(standing(item, text, guess + away), standing(item, text, guess - away)) / n
+    usual.append(chance)
+    return enough(chance)
 
 
 def _meetings(kind: dict, data: np.ndarray, offsets: np.ndarray, lookup: Index, sieve: np.ndarray, n_items: int):
@@ -180,8 +206,8 @@ def _meetings(kind: dict, data: np.ndarray, offsets: np.ndarray, lookup: Index,
         yield (*divmod(pair, n_items), band * BAND + BAND + base)
 
 
-def _search(index: dict):
-    """A function of a text column that gives ``(row, item, edits, start, end)`` of all matches."""
+def _search(index: dict, first_only: bool = False):
+    """A function of a text column that gives ``(row, item, edits, start, end)`` of all matches, or of one a row."""
     tools = []
     for kind in index["classes"]:
         sieve = np.zeros(1 << (64 - SIEVE), bool)
@@ -196,30 +222,34 @@ def _search(index: dict):
             for kind, lookup, sieve in tools:
                 for row, item, place in _meetings(kind, data, offsets, lookup, sieve, len(index["texts"])):
                     guesses.setdefault((row, item), []).append(place)
-            last = -1
+            last = found = -1
             for (r, item), near in sorted(guesses.items()):
+                if first_only and r == found:
+                    continue
                 if r != last:
                     own = data[offsets[r]:offsets[r + 1]]
-                    raw, codes, last = own.tobytes(), None, r
+                    raw, codes, last, usual = own.tobytes(), None, r, []
                     text = raw.decode()
                 wanted = index["texts"][item]
                 at = text.find(wanted)
                 if at >= 0:
+                    found = r
                     yield first + r, item, 0, at, at + len(wanted)
                     continue
                 if len(wanted) < SHORTEST:
                     continue
                 if item not in runs:
-                    runs[item] = triples(np.frombuffer(wanted.encode(), np.uint8))
+                    runs[item] = runs_of(np.frombuffer(wanted.encode(), np.uint8))
                 if codes is None:
-                    codes = triples(own)
-                near = [g for g in near if supported(runs[item], codes, g)]
+                    codes = runs_of(own)
+                near = [g for g in near if supported(runs[item], codes, g, usual)]
                 if not near:
                     continue
                 if len(text) != len(raw):  # byte positions become code points
                     near = [len(raw[:max(g, 0)].decode(errors="ignore")) for g in near]
                 match = verified(wanted, text, near)
                 if match:
+                    found = r
                     yield (first + r, item, *match)
 
     return search
@@ -248,7 +278,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     schema = T.StructType([
         T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("item_id", items.schema[item_id].dataType),
         *[T.StructField(n, T.IntegerType()) for n in ("edits", "start", "end")]])
-    types = [docs.select(doc_id).schema, items.select(item_id).schema]
+    kind = to_arrow_type(items.schema[item_id].dataType)
     asked = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     found = None
     for index in _indexes(items, item_id, text):
@@ -261,7 +291,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
                 rows = list(search(batch.column(1)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())),
-                     pa.array([ids[r[1]] for r in rows], ITEM_TYPE[types[1][0].dataType.simpleString()])]
+                     pa.array([ids[r[1]] for r in rows], kind)]
                     + [pa.array([r[k] for r in rows], pa.int32()) for k in (2, 3, 4)],
                     names=["doc_id", "item_id", "edits", "start", "end"])
 
@@ -270,16 +300,13 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     return found
 
 
-ITEM_TYPE = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-
 def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id") -> DataFrame:
     """The rows of ``docs`` in which no item is found, with their own columns."""
     for index in _indexes(items, item_id, "text"):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def make(shared=shared):
-            search = _search(shared.value)
+            search = _search(shared.value, first_only=True)
 
             def work(column):
                 hit = np.zeros(len(column), bool)
