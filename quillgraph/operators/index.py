@@ -51,22 +51,34 @@ def tfidf_index(
     return raw.select("doc_id", "term", "tf", (F.col("raw") / length).alias("w"))
 
 
-def build_index(
-    bags: DataFrame, min_df: int = 1, max_df: float = 1.0, max_features: int | None = None,
+def counted(bags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(counts, corpus size)``, the counts written once for all that is built on them.
+
+    Counts are summed before they are shuffled; texts and words stay where they
+    are read (bags need not lie by document).
+    """
+    return cut(term_counts(bags)), corpus_size(bags)
+
+
+def index_of(
+    counts: DataFrame, n: DataFrame, min_df: int = 1, max_df: float = 1.0, max_features: int | None = None,
     use_idf: bool = True, stored: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(index, vocabulary, corpus size)`` of a bag table.
+    """``(index, vocabulary, corpus size)`` of written counts.
 
     The vocabulary is written once, since index and queries both read it.  With
     ``stored`` the index is written too, for work that reads it several times.
     """
-    counts = term_counts(bags)
-    n = corpus_size(bags)
     vocab = cut(vocabulary(counts, n, min_df, max_df, max_features))
     index = tfidf_index(counts, vocab, n, use_idf)
     return cut(index) if stored else index, vocab, n
 
 
+def build_index(bags: DataFrame, min_df: int = 1, max_df: float = 1.0, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """:func:`index_of` the counts of a bag table; the texts are read once."""
+    return index_of(*counted(bags), min_df, max_df, **options)
+
+
 def index_stats(index: DataFrame, vocab: DataFrame, n_docs: DataFrame) -> DataFrame:
     """One row: documents, terms, stored weights and density."""
     terms = vocab.agg(F.count("*").alias("terms"))

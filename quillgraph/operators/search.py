@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .blocks import nearest
 from .index import tfidf_index
+from .postings import best_documents
 from .scale import salted_join, top_k
 
 DIGITS = 6
@@ -20,60 +23,45 @@ def query_vectors(query_counts: DataFrame, vocab: DataFrame, n_docs: DataFrame,
     return index.select(F.col("doc_id").alias("query_id"), "term", F.col("w").alias("qw"))
 
 
-def dot_products(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """``(query_id, doc_id, dot)`` for documents sharing a term with the query."""
-    matched = salted_join(index.select("doc_id", "term", "w"), queries, "term", "doc_id")
-    return matched.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-
-
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
     return top_k(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], k).select(
         "query_id", "rank", "doc_id", "score"
     )
 
 
-def _fill(best: DataFrame, queries: DataFrame, pool: DataFrame, scored: DataFrame) -> DataFrame:
-    """Add the few unmatched documents of ``pool(doc_id, score)`` to every query's candidates.
-
-    ``pool`` is bounded by a multiple of k, so it rides along as one array.
-    """
-    packed = pool.agg(F.collect_list(F.struct("doc_id", "score")).alias("p"))
-    ids = queries.select("query_id").distinct()
-    extra = ids.select("query_id", F.explode(packed.scalar()).alias("x")).select("query_id", "x.doc_id", "x.score")
-    unmatched = extra.join(scored.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    return best.unionByName(unmatched)
-
-
 def search(
-    index: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", documents: DataFrame | None = None
+    index: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", documents: DataFrame | None = None,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
     """``(query_id, rank, doc_id, score)``, the ``k`` best documents of every query.
 
     ``queries`` is a :func:`query_vectors` table.  With ``documents(doc_id)``
     the documents that share no term compete too: at score 0 for the cosine,
     at the distance of an orthogonal or empty row for ``euclidean`` (which needs
-    them).  Among those only the smallest ids can rank, so ``2k`` of them are
-    enough: with fewer than k matches at least k of the 2k are unmatched.
+    them).  Of those only the smallest ids can rank: either ``k`` matches are at
+    least as good, or all matches are known and ``k`` of the ``2k`` smallest ids
+    are not among them.  Queries of ``asked(query_id)`` without a known term are
+    empty rows: they score 0 with every document, or by the distance from zero.
     """
-    dots = dot_products(index, queries)
-    if metric == "cosine":
-        scored = dots.select("query_id", "doc_id", F.round("dot", DIGITS).alias("score"))
-    else:
-        gap = F.sqrt(F.greatest(F.lit(0.0), F.lit(2.0) - 2.0 * F.col("dot")))
-        scored = dots.select("query_id", "doc_id", F.round(1.0 / (1.0 + gap), DIGITS).alias("score"))
+    best = best_documents(index, queries, k, metric)
     if documents is None:
-        return _ranked(scored, k)
+        return best
+    best = best.select("query_id", "doc_id", "score")
     ids = documents.select("doc_id")
+    known = queries.select("query_id").distinct()
+    used = cut(index.select("doc_id").distinct())
     if metric == "cosine":
-        pool = ids.orderBy("doc_id").limit(2 * k).withColumn("score", F.lit(0.0))
-    else:
-        # Rows have length one, or zero when the document has no vocabulary term.
-        used = index.select("doc_id").distinct()
-        orthogonal = F.round(1.0 / (1.0 + F.sqrt(F.lit(2.0))), DIGITS)
-        pool = used.orderBy("doc_id").limit(2 * k).withColumn("score", orthogonal).unionByName(
-            ids.join(used, "doc_id", "left_anti").orderBy("doc_id").limit(k).withColumn("score", F.lit(0.5))
-        )
-    return _ranked(_fill(scored, queries, pool, dots), k)
+        pools = [(known, ids, 0.0)]
+    else:  # rows have length one, or zero when the document has no vocabulary term
+        pools = [(known, used, round(1.0 / (1.0 + math.sqrt(2.0)), DIGITS)), (known, ids.join(used, "doc_id", "left_anti"), 0.5)]
+    if asked is not None:
+        empty = asked.select("query_id").distinct().join(known, "query_id", "left_anti")
+        pools += [(empty, ids, 0.0)] if metric == "cosine" else [(empty, used, 0.5), (empty, ids.join(used, "doc_id", "left_anti"), 1.0)]
+    for own, pool, score in pools:
+        few = pool.orderBy("doc_id").limit(2 * k).agg(F.collect_list("doc_id").alias("p"))
+        extra = own.select("query_id", F.explode(few.scalar()).alias("doc_id")).withColumn("score", F.lit(score))
+        best = best.unionByName(extra)
+    return _ranked(best.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k)
 
 
 def with_articles(results: DataFrame, articles: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -105,16 +93,20 @@ def tagged(results: dict[str, DataFrame], column: str = "method") -> DataFrame:
 def query_term_importance(vocab: DataFrame, query_words: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Vocabulary terms that contain a word of the query, with their weight in the query vector.
 
-    Containment is an equi-join on the substrings of each vocabulary term, so
-    vocabulary and words are never paired off.
+    Terms are listed under their runs of up to three characters, once each; a
+    word looks only under its rarest run, and containment is tested there.
+    Vocabulary and words are never paired off, and no list holds all substrings.
     """
-    length = F.length("term")
-    starts = F.sequence(F.lit(1), length)
-    pieces = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(1), length - i + 1), lambda n: F.col("term").substr(i, n))))
-    parts = vocab.where(length > 0).select("term", F.explode(F.array_distinct(pieces)).alias("word"))
-    words = query_words.select("query_id", "word").distinct()
-    hits = parts.join(words, "word").select("query_id", "term").distinct()
+    runs = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.col(c).substr(i, F.lit(n)))
+    every = F.concat(*[F.when(F.length("term") >= n, runs("term", n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)])
+    listed = cut(vocab.where(F.length("term") > 0).select("term", F.explode(F.array_distinct(every)).alias("run")))
+    sizes = listed.groupBy("run").agg(F.count("*").alias("n"))
+    words = cut(query_words.select("word").where(F.length("word") > 0).distinct())
+    own = words.select("word", F.explode(F.when(F.length("word") < 3, F.array("word")).otherwise(F.array_distinct(runs("word", 3)))).alias("run"))
+    rarest = own.join(sizes, "run", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("m"))
+    rarest = rarest.where("m.n > 0").select("word", F.col("m.run").alias("run"))
+    holders = salted_join(listed, rarest, "run", "term").where(F.contains("term", "word")).select("word", "term")
+    hits = query_words.select("query_id", "word").distinct().join(holders, "word").select("query_id", "term").distinct()
     weighted = hits.join(queries, ["query_id", "term"], "left")
     weighted = weighted.withColumn("weight", F.round(F.coalesce("qw", F.lit(0.0)), DIGITS))
     return top_k(weighted, ["query_id"], [F.desc("weight"), F.asc("term")], k).select("query_id", "term", "weight")

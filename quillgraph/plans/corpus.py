@@ -28,7 +28,12 @@ def query_bags(spark: SparkSession, folder: str, **options) -> DataFrame:
 
 def document_index(spark: SparkSession, folder: str, min_df=MIN_DF, max_df=MAX_DF, **options):
     """``(index, vocabulary, corpus size)`` of the documents."""
-    return I.build_index(document_bags(spark, folder), min_df, max_df, **options)
+    return I.build_index(document_bags(spark, folder, by_document=False), min_df, max_df, **options)
+
+
+def document_counts(spark: SparkSession, folder: str, **options):
+    """``(counts, corpus size)`` of the documents, written once."""
+    return I.counted(document_bags(spark, folder, by_document=False, **options))
 
 
 def given_labels(spark: SparkSession, folder: str) -> DataFrame:

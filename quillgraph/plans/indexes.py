@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import index as I
 from . import sql as Q
-from .corpus import GIVEN_SQL, MAX_DF, MIN_DF, document_bags, document_index, given_labels
+from .corpus import GIVEN_SQL, MAX_DF, MIN_DF, document_bags, document_counts, document_index, given_labels
 from .registry import query
 
 TF = f"{Q.tok()},\n{Q.counts()}"
@@ -26,8 +26,8 @@ def vocabulary_top(spark, folder):
 
 @query("i2_count_index", f"WITH {VOCAB} SELECT doc_id, term, tf FROM tf SEMI JOIN vocab USING (term)")
 def count_index(spark, folder):
-    counts = I.term_counts(document_bags(spark, folder))
-    return I.tf_index(counts, document_index(spark, folder)[1]).select("doc_id", "term", "tf")
+    counts, n = document_counts(spark, folder)
+    return I.tf_index(counts, I.vocabulary(counts, n, MIN_DF, MAX_DF)).select("doc_id", "term", "tf")
 
 
 @query("i3_tfidf_index", f"WITH {INDEX} SELECT doc_id, term, tf, round(w, 6) AS w FROM idx")

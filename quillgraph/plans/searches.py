@@ -13,10 +13,11 @@ from ..operators import index as I
 from ..operators import search as R
 from ..operators import tokens as K
 from ..operators.vectors import dominant_topic
+from ..session import cut
 from . import sql as Q
 from .corpus import (
     CENTROID_SQL, GIVEN_SQL, NODE_SQL, TOPICS_SQL, VEC_SQL, document_bags, document_index, documents,
-    given_labels, label_queries, length_topics, node_vectors, query_bags, vectors,
+    document_counts, given_labels, label_queries, length_topics, node_vectors, query_bags, vectors,
 )
 from .registry import query, table
 from .text import ARTICLE_SQL, titled
@@ -36,6 +37,10 @@ def query_table(spark, folder, vocab, n, use_idf=True, **options):
     return R.query_vectors(counts, vocab, n, use_idf)
 
 
+def asked(spark, folder):
+    return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"))
+
+
 @query("q1_search_cosine", f"WITH {BASE}, {SCORES}, {ranked_sql('s', 10, 'r')} SELECT * FROM r")
 def search_cosine(spark, folder):
     index, vocab, n = document_index(spark, folder)
@@ -49,21 +54,21 @@ def search_with_articles(spark, folder):
 
 
 ALL_SCORES = """s AS (SELECT b.item_id AS query_id, d.doc_id, round(coalesce(sum(q.w * idx.w), 0), 6) AS score
-  FROM (SELECT DISTINCT doc_id AS item_id FROM q) b CROSS JOIN documents d
+  FROM (SELECT item_id FROM benchmark) b CROSS JOIN documents d
   LEFT JOIN idx ON idx.doc_id = d.doc_id LEFT JOIN q ON q.term = idx.term AND q.doc_id = b.item_id GROUP BY ALL)"""
 
 
 @query("q1_search_filled", f"WITH {BASE}, {ALL_SCORES}, {ranked_sql('s', 10, 'r')} SELECT * FROM r")
 def search_filled(spark, folder):
     index, vocab, n = document_index(spark, folder, stored=True)
-    return R.search(index, query_table(spark, folder, vocab, n), 10, documents=documents(spark, folder))
+    return R.search(index, query_table(spark, folder, vocab, n), 10, documents=documents(spark, folder), asked=asked(spark, folder))
 
 
 EUCLIDEAN = """len2 AS (SELECT doc_id, sum(w * w) AS n2 FROM idx GROUP BY doc_id),
 dots AS (SELECT q.doc_id AS query_id, idx.doc_id, sum(q.w * idx.w) AS dot FROM idx JOIN q USING (term) GROUP BY ALL),
 s AS (SELECT b.query_id, d.doc_id,
-  round(1.0::DOUBLE / (1.0 + sqrt(greatest(0.0, 1.0 + round(coalesce(n2, 0), 9) - 2.0 * coalesce(dot, 0)))), 6) AS score
-  FROM (SELECT DISTINCT doc_id AS query_id FROM q) b CROSS JOIN documents d
+  round(1.0::DOUBLE / (1.0 + sqrt(greatest(0.0, b.own + round(coalesce(n2, 0), 9) - 2.0 * coalesce(dot, 0)))), 6) AS score
+  FROM (SELECT item_id AS query_id, CASE WHEN item_id IN (SELECT doc_id FROM q) THEN 1.0 ELSE 0.0 END AS own FROM benchmark) b CROSS JOIN documents d
   LEFT JOIN len2 ON len2.doc_id = d.doc_id LEFT JOIN dots ON dots.doc_id = d.doc_id AND dots.query_id = b.query_id)"""
 
 
@@ -71,7 +76,7 @@ s AS (SELECT b.query_id, d.doc_id,
 def search_euclidean(spark, folder):
     index, vocab, n = document_index(spark, folder, stored=True)
     queries = query_table(spark, folder, vocab, n)
-    return R.search(index, queries, 10, "euclidean", documents(spark, folder))
+    return R.search(index, queries, 10, "euclidean", documents(spark, folder), asked(spark, folder))
 
 
 @query("q3_explain", f"""WITH {BASE}, {SCORES}, {ranked_sql('s', 3, 'r')},
@@ -104,31 +109,34 @@ def _config_sql(name, k):
     return f"(WITH {base}, {scores}, {ranked_sql('s', k, 'r')} SELECT *, '{name}' AS config FROM r)"
 
 
-def _config_index(spark, folder, name):
-    options, use_idf, stop, metric = CONFIGS[name]
-    extra = {} if stop else {"stop": ()}
-    bags = document_bags(spark, folder, **extra)
-    index, vocab, n = I.build_index(bags, 5, 0.95, use_idf=use_idf, stored=metric != "cosine", **options)
-    return index, vocab, query_table(spark, folder, vocab, n, use_idf, **extra), metric
+def _configs(spark, folder, names=None, k=0):
+    """``(name, vocabulary, query vectors, results)`` of every compared setting; texts are counted once a stop list."""
+    counts = {}
+    for name in names or CONFIGS:
+        options, use_idf, stop, metric = CONFIGS[name]
+        extra = {} if stop else {"stop": ()}
+        if stop not in counts:
+            counts[stop] = (*document_counts(spark, folder, **extra), cut(I.term_counts(query_bags(spark, folder, by_document=False, **extra))))
+        known, n, of_queries = counts[stop]
+        index, vocab, _ = I.index_of(known, n, 5, 0.95, use_idf=use_idf, stored=bool(k), **options)
+        queries = R.query_vectors(of_queries, vocab, n, use_idf)
+        everything = (documents(spark, folder), asked(spark, folder)) if metric == "euclidean" else ()
+        yield name, vocab, queries, R.search(index, queries, k, metric, *everything) if k else None
 
 
 @query("q4_compare_search", " UNION ALL ".join(_config_sql(name, 5) for name in CONFIGS))
 def compare_search(spark, folder):
-    results = {}
-    for name in CONFIGS:
-        index, _, queries, metric = _config_index(spark, folder, name)
-        everything = documents(spark, folder) if metric == "euclidean" else None
-        results[name] = R.search(index, queries, 5, metric, everything)
-    return R.tagged(results, "config")
+    return R.tagged({name: found for name, _, _, found in _configs(spark, folder, k=5)}, "config")
 
 
-IMPORTANCE = ["tfidf", "tf", "terms_500"]
+IMPORTANCE = list(CONFIGS)
 
 
 def _importance_sql(name):
-    options, use_idf, _, _ = CONFIGS[name]
-    return f"""(WITH {Q.index(use_idf=use_idf, **options)}, {Q.query_weights(use_idf)},
-    words AS (SELECT DISTINCT doc_id AS query_id, term AS word FROM q_tok),
+    options, use_idf, stop, _ = CONFIGS[name]
+    words = Q.STOP if stop else ""
+    return f"""(WITH {Q.index(use_idf=use_idf, stop=words, **options)}, {Q.query_weights(use_idf, stop=words)}, {Q.tok("asked", "benchmark", "item_id")},
+    words AS (SELECT DISTINCT doc_id AS query_id, term AS word FROM asked),
     hits AS (SELECT DISTINCT query_id, term FROM vocab JOIN words ON contains(term, word)),
     x AS (SELECT h.query_id, h.term, round(coalesce(q.w, 0), 6) AS weight FROM hits h LEFT JOIN q ON q.doc_id = h.query_id AND q.term = h.term)
     SELECT query_id, term, weight, '{name}' AS config FROM x
@@ -140,10 +148,8 @@ def _importance_sql(name):
        + " FROM long GROUP BY query_id, term")
 def query_term_importance(spark, folder):
     words = K.tokens(query_bags(spark, folder)).select(F.col("doc_id").alias("query_id"), F.col("term").alias("word"))
-    by_config = {}
-    for name in IMPORTANCE:
-        _, vocab, queries, _ = _config_index(spark, folder, name)
-        by_config[name] = R.query_term_importance(vocab, words, queries, 20)
+    words = cut(words)
+    by_config = {name: R.query_term_importance(vocab, words, queries, 20) for name, vocab, queries, _ in _configs(spark, folder)}
     return R.importance_table(by_config)
 
 
@@ -190,16 +196,13 @@ def search_all(spark, folder):
     return R.tagged({"dense": vector_search(spark, folder), "hybrid": hybrid_search(spark, folder)})
 
 
-METHODS = ["tfidf", "tf", "terms_500"]
+METHODS = list(CONFIGS)
 METHOD_RESULTS = "res AS (" + " UNION ALL ".join(_config_sql(name, 10) for name in METHODS) + f"""),
 {ARTICLE_SQL}, named AS (SELECT query_id, config AS method, title, score FROM res JOIN art USING (doc_id))"""
 
 
 def _method_results(spark, folder):
-    results = {}
-    for name in METHODS:
-        index, _, queries, _ = _config_index(spark, folder, name)
-        results[name] = R.search(index, queries, 10)
+    results = {name: cut(found) for name, _, _, found in _configs(spark, folder, METHODS, 10)}
     return R.with_articles(R.tagged(results), titled(spark, folder), ["title"])
 
 
