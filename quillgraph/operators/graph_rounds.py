@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..session import cut
 from . import graph as G
 from .embeddings import train, window_pairs
-from .scale import lowest_hashes, salted_join
+from .components import component_stats, components, largest_component
+from .scale import deal, lowest_hashes, salted_join
 
 def _empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
@@ -87,6 +88,53 @@ def path_stats(dist: DataFrame) -> DataFrame:
         F.max("dist").alias("diameter"), F.round(F.avg("dist"), 6).alias("mean_path"))
 
 
+def diameter(nodes: DataFrame, adjacency: DataFrame, at_once: int = 63) -> int:
+    """The longest of all shortest paths, in steps, of the connected ``nodes``; exact, mostly from few sources.
+
+    What lies d steps from a source of eccentricity e has one of at least
+    max(d, e - d) and at most e + d (Takes and Kosters, 2011).  Sources are
+    taken where the bounds are widest, ``at_once`` and then twice as many, until
+    no node can exceed the longest path found.  No nodes, or one, give 0.
+    """
+    bounds = cut(nodes.select("id").distinct().select("id", F.lit(0).alias("low"), F.lit(2**31 - 1).alias("high")))
+    reach = adjacency.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("links"))
+    order = bounds.join(reach, "id", "left").orderBy(F.desc_nulls_last("links"), "id").limit(at_once).select("id")
+    longest = 0
+    while True:
+        sources = cut(order)
+        if _empty(sources):
+            return longest
+        dist = cut(distances(adjacency, sources))
+        far = dist.groupBy("source").agg(F.max("dist").alias("far"))
+        longest = max(longest, far.agg(F.max("far")).first()[0] or 0)
+        found = dist.join(far, "source").groupBy("id").agg(
+            F.max(F.greatest("dist", F.col("far") - F.col("dist"))).alias("l"), F.min(F.col("far") + F.col("dist")).alias("h"))
+        asked = sources.withColumn("asked", F.lit(True))
+        bounds = cut(bounds.join(found, "id", "left").join(asked, "id", "left").where("asked IS NULL").select(
+            "id", F.greatest("low", F.coalesce("l", F.lit(0))).alias("low"), F.least("high", F.coalesce("h", "high")).alias("high")).where(
+            F.col("high") > longest))
+        at_once = min(2 * at_once, 1008)
+        half = at_once // 2
+        wide = bounds.orderBy(F.desc("high"), "id").limit(at_once - half).select("id")
+        narrow = bounds.orderBy("low", "id").limit(half).select("id")
+        order = wide.unionByName(narrow).distinct()
+
+
+def structure_stats(nodes: DataFrame, edges: DataFrame, communities: DataFrame | None = None) -> DataFrame:
+    """``(metric, value)``: components, the largest one's size, share and diameter; of ``communities(id, cluster)``
+    their number, the largest and the modularity.  Directions do not count."""
+    links = cut(G.adjacency(edges.where("src <> dst")))
+    found = cut(components(nodes, links))
+    largest = cut(largest_component(found))
+    parts = [component_stats(found).select("components", "largest", "share"),
+             nodes.sparkSession.range(1).select(F.lit(diameter(largest, links)).alias("diameter"))]
+    if communities is not None:
+        sizes = communities.groupBy("cluster").agg(F.count("*").alias("n"))
+        parts.append(sizes.agg(F.count("*").alias("communities"), F.max("n").alias("largest_community")))
+        parts.append(G.modularity(G.Graph(nodes, edges), communities).select(F.round("modularity", 6).alias("modularity")))
+    return G.stats_rows(*parts)
+
+
 def closeness(dist: DataFrame, largest: DataFrame) -> DataFrame:
     """``(id, closeness)`` of the sources of ``dist``, 0 for those outside the largest component.
 
@@ -215,6 +263,7 @@ def pagerank(
     out = adjacency.groupBy(F.col("src")).agg(F.sum("weight").alias("out"))
     shares = cut(salted_join(adjacency.select("src", "dst", "weight"), out, "src", "dst").select(
         "src", "dst", (F.col("weight") / F.col("out")).alias("share")))
+    shares = deal(shares, "src", "dst")  # the same in every round
     base = cut(nodes.select("id").join(
         out.select(F.col("src").alias("id"), F.lit(False).alias("d")), "id", "left"
     ).select("id", F.coalesce("d", F.lit(True)).alias("dangling")))
@@ -222,7 +271,7 @@ def pagerank(
     any_dangling = not _empty(dangling)
     ranks = base.select("id", F.lit(1.0 / n).alias("rank"))
     for step in range(1, rounds + 1):
-        moved = salted_join(shares, ranks.withColumnRenamed("id", "src"), "src", "dst")
+        moved = shares.meet(ranks.withColumnRenamed("id", "src"))
         got = moved.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("r"))
         fresh = base.select("id").join(got, "id", "left")
         lost = F.lit(0.0)
@@ -234,7 +283,7 @@ def pagerank(
             if tol and (step % cut_every == 0 or step == rounds):
                 old = ranks.withColumnRenamed("rank", "old")
                 gap = fresh.join(old, "id").agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("g")).first()["g"]
-                if gap < tol * n:
+                if (gap or 0.0) < tol * n:
                     return fresh
         ranks = fresh
     if tol:
@@ -249,11 +298,12 @@ def _local_moves(links: DataFrame, nodes: DataFrame, two_m: float, seed: int, to
     ever.  Rounds end when both halves stay, or when both together raised the
     modularity by less than ``tol``; the best state seen is returned.
     """
+    links = deal(links.where("src <> dst"), "dst", "src")  # the same in every round
     labels = cut(nodes.select("id", F.col("id").alias("cluster"), "degree"))
     best_labels, best_score, last, still = labels, float("-inf"), float("-inf"), 0
     for step in itertools.count():
         totals = labels.groupBy("cluster").agg(F.sum("degree").alias("tot"))
-        near = salted_join(links.where("src <> dst"), labels.select(F.col("id").alias("dst"), "cluster"), "dst", "src")
+        near = links.meet(labels.select(F.col("id").alias("dst"), "cluster"))
         weights = near.groupBy(F.col("src").alias("id"), "cluster").agg(F.sum("weight").alias("k_in"))
         mine = labels.select("id", F.col("cluster").alias("own"), "degree")
         offers = weights.unionByName(mine.select("id", F.col("own").alias("cluster"), F.lit(0.0).alias("k_in")))
@@ -380,6 +430,24 @@ def embed_by_sample(
     return neighbour_means(nodes, G.adjacency(edges), trained, dim, seed)
 
 
+def centralities(nodes: DataFrame, edges: DataFrame, sources: int = 100, seed: int = 42) -> DataFrame:
+    """``(id, centrality, betweenness, closeness, coefficient)`` with edge weights as lengths.
+
+    Betweenness and closeness are reckoned from a seeded sample of ``sources``
+    nodes (all, if there are no more): betweenness is scaled up, closeness is
+    the mean over the sources that reach a node, within the largest component.
+    """
+    links = cut(G.adjacency(edges.where("src <> dst")))
+    asked = cut(sampled_sources(nodes, sources, seed))
+    largest = cut(largest_component(components(nodes, links)))
+    dist = cut(weighted_distances(links, asked))
+    inside = dist.join(largest, "id", "left_semi").where("source <> id")
+    near = inside.groupBy("id").agg(F.try_divide(F.count("*").cast("double"), F.sum("dist")).alias("closeness"))
+    return graph_features(
+        nodes, G.degree_centrality(G.degrees(nodes, edges)), weighted_betweenness(nodes, links, asked), near,
+        G.clustering_coefficient(nodes, edges, weighted=True))
+
+
 def graph_features(nodes: DataFrame, *measures: DataFrame) -> DataFrame:
     """One row per node with the columns of all measure tables ``(id, ...)``, 0 where absent."""
     out = nodes.select("id")

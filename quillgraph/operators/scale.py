@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,40 @@ def salted_join(
     return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
+HEAVY_SHARE = 1000   # a key with more than one in so many rows may be heavy; there are no more than that many
+HEAVY_ROWS = 100_000  # if it has so many rows, and so many go to a task
+
+
+@dataclass
+class Dealt:
+    """Rows written with the salts of their heavy keys, for many joins with smaller tables."""
+
+    rows: DataFrame
+    heavy: DataFrame
+    key: str
+
+    def meet(self, small: DataFrame, how: str = "inner") -> DataFrame:
+        """Equi-join with ``small``; only rows of heavy keys are copied, once a salt."""
+        copied = small.join(F.broadcast(self.heavy), self.key, "left")
+        salts = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
+        return self.rows.join(copied.withColumn("_salt", F.explode(salts)).drop("_salts"), [self.key, "_salt"], how).drop("_salt")
+
+
+def heavy_keys(rows: DataFrame, key: str, least: int = HEAVY_ROWS) -> DataFrame:
+    """``(key, _salts)`` of the keys that one task should not hold alone, by count; at most ``HEAVY_SHARE`` of them."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    total = rows.agg(F.count("*").alias("n"))
+    heavy = counts.where((F.col("_n") > least) & (F.col("_n") * HEAVY_SHARE > total.scalar()))
+    return cut(heavy.select(key, F.ceil(F.col("_n") / least).cast("int").alias("_salts")))
+
+
+def deal(rows: DataFrame, key: str, spread: str, least: int = HEAVY_ROWS) -> Dealt:
+    """``rows`` with every heavy ``key`` dealt over as many salts as its count asks for, by the hash of ``spread``."""
+    heavy = heavy_keys(rows, key, least)
+    salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("_salts"))).cast("int")
+    return Dealt(cut(rows.join(F.broadcast(heavy), key, "left").withColumn("_salt", salt).drop("_salts")), heavy, key)
+
+
 def top_k(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank"
 ) -> DataFrame:

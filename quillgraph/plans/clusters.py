@@ -166,6 +166,29 @@ def kmeans(spark, folder):
     return C.kmeans(vectors(spark, folder), 8)
 
 
+def index_rows(spark, folder):
+    """``(id, features)``: the sparse rows of the term index."""
+    index, vocab, _ = document_index(spark, folder)
+    return V.sparse_rows(index, cut(V.term_numbers(vocab))).withColumnRenamed("doc_id", "id")
+
+
+def topic_rows(spark, folder):
+    """``(id, vec)``: the given document-topic matrix, a row per document."""
+    pairs = length_topics(spark, folder).groupBy(F.col("doc_id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("topic", "p"))).alias("m"))
+    return cut(pairs.select("id", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda t: F.coalesce(F.element_at("m", t), F.lit(0.0))).alias("vec")))
+
+
+@query("c1_kmeans_index")
+def kmeans_index(spark, folder):
+    """Clusters of the sparse rows of the whole term index."""
+    return C.kmeans(index_rows(spark, folder), 8, n_init=3)
+
+
+@query("c1_kmeans_topics")
+def kmeans_topics(spark, folder):
+    return C.kmeans(topic_rows(spark, folder), 8)
+
+
 @query("c2_hierarchical")
 def hierarchical(spark, folder):
     return C.hierarchical(vectors(spark, folder), 8)
@@ -366,6 +389,14 @@ def run_clusterings(spark, folder):
     return U.compare_runs(rows, {name: cut(labels) for name, labels in runs.items()})
 
 
+@query("c19_document_clusterings")
+def document_clusterings(spark, folder):
+    """The term index and the topics by each algorithm, judged on the topics."""
+    topics = topic_rows(spark, folder)
+    runs = C.run_clusterings({"index": index_rows(spark, folder), "topics": topics}, 8, 42, 3, 0.01, MIN_SAMPLES, dense=["topics"])
+    return U.compare_runs(topics, {name: cut(labels) for name, labels in runs.items()})
+
+
 # -- reports --------------------------------------------------------------------
 
 

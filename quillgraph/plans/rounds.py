@@ -206,3 +206,36 @@ def graph_features(spark, folder):
         nodes, G.weighted_degrees(G.Graph(nodes, edges)), G.degree_centrality(G.degrees(nodes, edges)),
         G.clustering_coefficient(nodes, edges), R.pagerank(nodes, G.adjacency(edges), tol=SETTLED))
     return out.select("id", *[F.round(c, 6).alias(c) for c in ("degree", "centrality", "coefficient")], F.round("rank", 9).alias("rank"))
+
+
+@query("g27_centralities")
+def centralities(spark, folder):
+    """Degree, betweenness, closeness and clustering of the authors, all by weight."""
+    return R.centralities(cut(author_nodes(spark, folder)), cut(coauthor_network(spark, folder)))
+
+
+@query("g17_diameter")
+def diameter(spark, folder):
+    """Of the largest component of the customers joined by like orders, whose paths are long."""
+    nodes, links = cut(customers(spark, folder)), cut(like_links(spark, folder))
+    largest = cut(N.largest_component(N.components(nodes, links)))
+    return spark.range(1).select(F.lit(R.diameter(largest, links)).alias("diameter"))
+
+
+def like_links(spark, folder):
+    """``(src, dst, weight)`` both ways: customers with an order of the same day, priority and price class."""
+    members = like_orders(spark, folder)
+    met = members.toDF("hub", "src").join(members.toDF("hub", "dst"), "hub").where("src <> dst")
+    return met.select("src", "dst", F.lit(1.0).alias("weight")).distinct()
+
+
+@query("g29_citation_structure")
+def citation_structure(spark, folder):
+    return R.structure_stats(cut(part_nodes(spark, folder)), cut(undirected(spark, folder)))
+
+
+@query("g29_coauthor_structure")
+def coauthor_structure(spark, folder):
+    """With the communities found by local moves."""
+    nodes, edges = cut(author_nodes(spark, folder)), cut(coauthor_network(spark, folder))
+    return R.structure_stats(nodes, edges, cut(R.louvain(nodes, edges)))

@@ -1,5 +1,6 @@
 import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,3 +160,54 @@ def test_prune(spark):
     edges = spark.createDataFrame([(i, i + 1, float(i)) for i in range(11)], "src bigint, dst bigint, weight double")
     assert G.prune_edges(edges, 0.0).count() == 11
     assert G.prune_edges(edges, 0.8).count() == 3
+
+
+def test_heavy_keys_are_split_and_others_are_not_copied(spark):
+    from quillgraph.operators import scale
+
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id") % 500).alias("key"), "id")
+    small = spark.createDataFrame([(-1, "hot"), (1, "one"), (3, "three"), (999, "none")], "key bigint, name string")
+    dealt = scale.deal(rows, "key", "id", least=100)
+    assert [(r["key"], r["_salts"]) for r in dealt.heavy.collect()] == [(-1, 20)]
+    sizes = dealt.rows.where("key = -1").groupBy("_salt").count().collect()
+    assert len(sizes) == 20 and max(r["count"] for r in sizes) < 200
+    got = dealt.meet(small).groupBy("name").count().collect()
+    assert {r["name"]: r["count"] for r in got} == {"hot": 2000, "one": 8, "three": 8}
+    assert dealt.meet(small, "left").count() == 4000
+    assert scale.deal(rows.where("key >= 0"), "key", "id", least=100).heavy.isEmpty()
+
+
+def test_diameter_is_exact(spark):
+    rng = np.random.default_rng(21)
+    for n, extra in ((40, 0), (60, 25), (30, 200)):
+        pairs = {(i, int(rng.integers(max(0, i - 4), i))) for i in range(1, n)} | {tuple(sorted(map(int, p), reverse=True)) for p in rng.integers(0, n, (extra, 2)) if p[0] != p[1]}
+        far = np.where(np.eye(n, dtype=bool), 0, n)
+        for a, b in pairs:
+            far[a, b] = far[b, a] = 1
+        for k in range(n):
+            far = np.minimum(far, far[:, k, None] + far[None, k, :])
+        edges = spark.createDataFrame([(b, a, 1.0) for a, b in pairs], "src bigint, dst bigint, weight double")
+        assert R.diameter(spark.range(n), G.adjacency(edges), at_once=6) == far.max()
+    assert R.diameter(spark.range(1), G.adjacency(edges.where("false"))) == 0
+
+
+def test_structure_stats(spark):
+    edges = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (0, 2, 1.0), (2, 3, 1.0), (5, 6, 1.0)], "src bigint, dst bigint, weight double")
+    groups = spark.createDataFrame([(i, int(i > 3)) for i in range(8)], "id bigint, cluster int")
+    got = {r["metric"]: r["value"] for r in R.structure_stats(spark.range(8), edges, groups).collect()}
+    assert got == {"components": 4, "largest": 4, "share": 0.5, "diameter": 2, "communities": 2, "largest_community": 4, "modularity": 0.32}
+
+
+def test_centralities(spark):
+    """A path 0-1-2-3 with a triangle at its end, and a node alone; all nodes are sources."""
+    edges = spark.createDataFrame([(0, 1, 1.0), (1, 2, 2.0), (2, 3, 1.0), (2, 4, 1.0), (3, 4, 1.0)], "src bigint, dst bigint, weight double")
+    got = {r["id"]: r for r in R.centralities(spark.range(6), edges).collect()}
+    assert got[5]["closeness"] == got[5]["betweenness"] == got[5]["coefficient"] == 0
+    assert got[2]["betweenness"] == pytest.approx(2 * 4 / (5 * 4)) and got[1]["betweenness"] == pytest.approx(2 * 3 / (5 * 4))
+    assert got[0]["closeness"] == pytest.approx(4 / (1 + 3 + 4 + 4)) and got[2]["centrality"] == pytest.approx(3 / 5)
+    assert got[3]["coefficient"] == pytest.approx((1 * 1 * 1 / 8) ** (1 / 3))
+
+
+def test_no_nodes_give_no_ranks(spark):
+    none = spark.range(0)
+    assert R.pagerank(none, G.adjacency(spark.createDataFrame([], "src bigint, dst bigint, weight double"))).isEmpty()
