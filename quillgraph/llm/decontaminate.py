@@ -228,9 +228,19 @@ def _search(index: dict, first_only: bool = False):
                     continue
                 if r != last:
                     own = data[offsets[r]:offsets[r + 1]]
-                    raw, codes, last, usual = own.tobytes(), None, r, []
-                    text = raw.decode()
+                    text, codes, last, usual = None, None, r, []
                 wanted = index["texts"][item]
+                if len(wanted) >= SHORTEST:
+                    if item not in runs:
+                        runs[item] = runs_of(np.frombuffer(wanted.encode(), np.uint8))
+                    if codes is None:
+                        codes = runs_of(own)
+                    near = [g for g in near if supported(runs[item], codes, g, usual)]
+                    if not near:
+                        continue
+                if text is None:
+                    raw = own.tobytes()
+                    text = raw.decode()
                 at = text.find(wanted)
                 if at >= 0:
                     found = r
@@ -238,13 +248,6 @@ def _search(index: dict, first_only: bool = False):
                     continue
                 if len(wanted) < SHORTEST:
                     continue
-                if item not in runs:
-                    runs[item] = runs_of(np.frombuffer(wanted.encode(), np.uint8))
-                if codes is None:
-                    codes = runs_of(own)
-                near = [g for g in near if supported(runs[item], codes, g, usual)]
-                if not near:
-                    continue
                 if len(text) != len(raw):  # byte positions become code points
                     near = [len(raw[:max(g, 0)].decode(errors="ignore")) for g in near]
                 match = verified(wanted, text, near)
