@@ -80,14 +80,8 @@ def cell_pairs(home: DataFrame, seen: DataFrame, fn: Callable, schema: str, bloc
     return _meet(a, b, ["cell", "hb", "sb"], fn, schema)
 
 
-def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", p: int = 2, block: int = BLOCK
-) -> DataFrame:
-    """``(query_id, rank, id, score)``: the ``k`` nearest ``vectors(id, vec)`` of each query, exactly.
-
-    Every pair of blocks hands on its best ``k`` per query.  ``score`` is the
-    cosine, or the distance for ``minkowski``; ties go to the smaller id.
-    """
+def best_of(k: int, metric: str, p: int):
+    """The ``k`` best of the known rows for every asked row of a pair of blocks."""
     higher = metric == "cosine"
 
     def best(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -104,10 +98,27 @@ def nearest(
             "score": np.take_along_axis(score, pick, axis=1).ravel(),
         })
 
+    return best
+
+
+def nearest(
+    vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", p: int = 2, block: int = BLOCK
+) -> DataFrame:
+    """``(query_id, rank, id, score)``: the ``k`` nearest ``vectors(id, vec)`` of each query, exactly.
+
+    Every pair of blocks hands on its best ``k`` per query.  ``score`` is the
+    cosine, or the distance for ``minkowski``; ties go to the smaller id.  Tables
+    of many blocks are better searched by ``cells.nearest``, which gives the
+    same rows.
+    """
     found = all_pairs(
-        queries.select("id", "vec"), vectors.select("id", "vec"), best,
+        queries.select("id", "vec"), vectors.select("id", "vec"), best_of(k, metric, p),
         f"query_id {id_type(queries)}, id {id_type(vectors)}, score double", block)
-    order = F.desc("score") if higher else F.asc("score")
+    return ranked(found, k, metric)
+
+
+def ranked(found: DataFrame, k: int, metric: str) -> DataFrame:
+    order = F.desc("score") if metric == "cosine" else F.asc("score")
     return top_k(found, ["query_id"], [order, F.asc("id")], k).select("query_id", "rank", "id", "score")
 
 

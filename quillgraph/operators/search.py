@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .blocks import nearest
+from .cells import nearest
 from .index import tfidf_index
 from .postings import best_documents
 from .scale import salted_join, top_k

@@ -161,13 +161,13 @@ def test_spectral_recovers_blocks_and_rings(spark):
     rng = np.random.default_rng(8)
     pairs = planted(4, 25, rng, 0.5, 0.01)
     nodes = spark.range(102).select("id")
-    got = clusters_of(C.spectral(nodes, edges_of(spark, pairs), 4))
+    got = clusters_of(C.spectral(nodes, edges_of(spark, pairs), 4, n_init=3))
     assert got[100] == got[101] == -1
     assert partition(got, range(100)) == {frozenset(range(25 * b, 25 * b + 25)) for b in range(4)}
     # Two rings with one bridge; ids are text.
     ring = [(f"n{30 * r + i:02}", f"n{30 * r + (i + 1) % 30:02}") for r in range(2) for i in range(30)] + [("n00", "n30")]
     named = spark.createDataFrame([(f"n{i:02}",) for i in range(60)], "id string")
-    got = clusters_of(C.spectral(named, edges_of(spark, ring, "string"), 2))
+    got = clusters_of(C.spectral(named, edges_of(spark, ring, "string"), 2, n_init=3))
     assert partition(got, got) == {frozenset(f"n{30 * r + i:02}" for i in range(30)) for r in range(2)}
     assert set(clusters_of(C.spectral(nodes, edges_of(spark, []), 3)).values()) == {-1}
 
@@ -175,7 +175,7 @@ def test_spectral_recovers_blocks_and_rings(spark):
 def test_structure_clusters(spark):
     rng = np.random.default_rng(9)
     nodes = spark.range(61).select("id")
-    got = clusters_of(C.structure_clusters(nodes, edges_of(spark, planted(3, 20, rng, 0.6, 0.01)), 3, 3))
+    got = clusters_of(C.structure_clusters(nodes, edges_of(spark, planted(3, 20, rng, 0.6, 0.01)), 3, 3, n_init=3))
     assert got[60] == -1 and partition(got, range(60)) == {frozenset(range(20 * b, 20 * b + 20)) for b in range(3)}
     assert set(clusters_of(C.structure_clusters(nodes, edges_of(spark, []), 3, 3)).values()) == {-1}
 
@@ -211,6 +211,21 @@ def test_cells_hold_every_point_once_and_bound_distances(spark, monkeypatch, one
         assert r["low"] <= gaps.min() + 1e-9 and gaps.max() <= r["high"] + 1e-9
 
 
+@pytest.mark.parametrize("metric", ["cosine", "minkowski"])
+def test_nearest_by_cells_is_exact_and_visits_few(spark, metric):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(15, 4)) * 5
+    data = np.round(centres[rng.integers(0, 15, 500)] + 0.2 * rng.normal(size=(500, 4)), 1)  # some are equal
+    data[7] = 0
+    ask = np.concatenate([centres[:6], np.zeros((1, 4))])
+    names = [f"q{i}" for i in range(7)]
+    rows, asked = points(spark, data), points(spark, ask, names)
+    seen = {}
+    got = {tuple(r) for r in B.nearest(rows, asked, 9, metric, size=25, counted=seen).collect()}
+    assert got == {tuple(r) for r in B.all_nearest(rows, asked, 9, metric).collect()}
+    assert seen["visited"] < 0.7 * seen["possible"]
+
+
 def slow_forest(data, names):
     """Kruskal's edges in order of length, then of ids."""
     every = sorted((float(np.sqrt(((data[i] - data[j]) ** 2).sum())), *sorted((names[i], names[j]))) for i in range(len(data)) for j in range(i))
@@ -229,12 +244,11 @@ def slow_forest(data, names):
     return out
 
 
-@pytest.mark.parametrize("size", [10, 2000])
-def test_linkage_against_brute_force(spark, size):
+def test_linkage_against_brute_force(spark):
     rng = np.random.default_rng(11)
-    grid = rng.integers(0, 6, (90, 2)).astype(float)  # many ties, many equal points
-    loose = rng.normal(size=(60, 4)) * 2
-    for data, names in ((grid, list(range(90))), (loose, [f"p{i:02}" for i in range(60)])):
+    grid = rng.integers(0, 5, (40, 2)).astype(float)  # many ties, many equal points
+    loose = rng.normal(size=(40, 4)) * 2
+    for data, names, size in ((grid, list(range(40)), 2000), (loose, [f"p{i:02}" for i in range(40)], 8)):
         real = slow_forest(data, names)
         got = [(round(r["height"], 9), r["src"], r["dst"]) for r in L.merges(L.spanning_forest(points(spark, data, names), size)).orderBy("step").collect()]
         assert [h for h, _, _ in got] == [h for h, _, _ in real]

@@ -75,6 +75,29 @@ def test_dbscan_against_brute_force(spark, block):
     assert [got[i] for i in range(len(data))] == brute_dbscan(data, 0.05, 4)
 
 
+@pytest.mark.parametrize("eps,block", [(0.9, 20), (0.3, 8), (1.2, 30)])
+def test_dbscan_with_wide_reach(spark, eps, block):
+    """Cells wholly within reach are counted and linked without their points; rows of zeros and nulls are noise."""
+    rng = np.random.default_rng(6)
+    data = np.concatenate([rng.normal(size=(3, 5))[rng.integers(0, 3, 90)] + 0.05 * rng.normal(size=(90, 5)), rng.normal(size=(10, 5)), np.zeros((2, 5))])
+    unit = np.divide(data, np.linalg.norm(data, axis=1, keepdims=True), out=np.zeros_like(data), where=data.any(axis=1, keepdims=True))
+    near = 1 - unit @ unit.T <= eps
+    core = near.sum(1) >= 4
+    label = np.full(len(data), -1)
+    for i in np.flatnonzero(core):
+        todo = [i] if label[i] < 0 else []
+        while todo:
+            j = todo.pop()
+            if label[j] < 0:
+                label[j] = i
+                todo += np.flatnonzero(near[j] & core).tolist()
+    for i in np.flatnonzero(~core):
+        label[i] = min(label[near[i] & core].tolist(), default=-1)
+    rows = points(spark, data).unionByName(spark.createDataFrame([(500, None)], "id bigint, vec array<double>"))
+    got = {r["id"]: r["cluster"] for r in C.dbscan(rows, eps, 4, block=block).collect()}
+    assert [got[i] for i in range(len(data))] == label.tolist() and got[500] == -1
+
+
 def test_nearest_in_several_blocks(spark):
     rng = np.random.default_rng(1)
     data, ask = rng.normal(size=(200, 4)), rng.normal(size=(30, 4))
