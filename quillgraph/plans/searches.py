@@ -43,7 +43,7 @@ def asked(spark, folder):
 
 @query("q1_search_cosine", f"WITH {BASE}, {SCORES}, {ranked_sql('s', 10, 'r')} SELECT * FROM r")
 def search_cosine(spark, folder):
-    index, vocab, n = document_index(spark, folder)
+    index, vocab, n = document_index(spark, folder, stored=True)
     return R.search(index, query_table(spark, folder, vocab, n), 10)
 
 
@@ -160,8 +160,8 @@ PROJECT = f"""{TITLED}, {Q.tok(source='wt', rule='b', min_len=2)}, {Q.counts()},
 
 def _project_search(spark, folder, k):
     articles = titled(spark, folder).select("doc_id", T.combined_text("title", "abstract", 2).alias("text"))
-    bags = K.bags(articles, rule="b", min_len=2)
-    index, vocab, n = I.build_index(bags, 2, 0.9)
+    bags = K.bags(articles, rule="b", min_len=2, by_document=False)
+    index, vocab, n = I.build_index(bags, 2, 0.9, stored=True)
     return R.search(index, query_table(spark, folder, vocab, n, rule="b", min_len=2), k)
 
 
