@@ -1,8 +1,11 @@
 """What Spark takes a table to be, where the choice of a join depends on it."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from quillgraph.operators.scale import salted_join
+from quillgraph.operators.search import query_term_importance
 
 
 def test_salted_copies_count_in_the_size(spark):
@@ -19,3 +22,13 @@ def test_salted_copies_count_in_the_size(spark):
             assert joined.count() == {"left": 100_000, "left_anti": 60_000}.get(how, 40_000)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_runs_of_a_vocabulary_are_not_broadcast(spark):
+    vocab = spark.createDataFrame([("station",), ("nation",), ("stone",)], "term string")
+    words = spark.createDataFrame([(1, "tion"), (2, "st"), (2, "zebra")], "query_id long, word string")
+    queries = spark.createDataFrame([(1, "nation", 0.5)], "query_id long, term string, qw double")
+    found = query_term_importance(vocab, words, queries, 5)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert re.search(r"SortMergeJoin \[run#\d+, _salt", plan)
+    assert sorted(map(tuple, found.collect())) == [(1, "nation", 0.5), (1, "station", 0.0), (2, "station", 0.0), (2, "stone", 0.0)]
