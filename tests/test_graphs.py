@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -211,3 +212,21 @@ def test_centralities(spark):
 def test_no_nodes_give_no_ranks(spark):
     none = spark.range(0)
     assert R.pagerank(none, G.adjacency(spark.createDataFrame([], "src bigint, dst bigint, weight double"))).isEmpty()
+
+
+@pytest.mark.parametrize("name", [lambda i: i, lambda i: i + 2**40, str])
+def test_triangles_move_a_row_per_edge(spark, name):
+    """A dense random graph against brute force; the only join is that of tails with lists."""
+    rng = random.Random(4)
+    weights = {(i, j): rng.choice([0.5, 1.0, 2.0]) for i, j in itertools.combinations(range(24), 2) if rng.random() < 0.4}
+    rows = [(name(i), name(j), w) for (i, j), w in weights.items()]
+    edges = spark.createDataFrame(rows, f"src {'string' if name is str else 'long'}, dst {'string' if name is str else 'long'}, weight double")
+    found = G.triangles(edges)
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Join") == 1
+    want = {frozenset(map(name, t)): weights[t[0], t[1]] * weights[t[0], t[2]] * weights[t[1], t[2]]
+            for t in itertools.combinations(range(24), 3) if all(p in weights for p in itertools.combinations(t, 2))}
+    got = found.collect()
+    assert len(got) == len(want) > 50
+    assert {frozenset((r.a, r.b, r.c)): r["product"] for r in got} == want
+    none = spark.createDataFrame([], edges.schema)
+    assert G.triangles(none).count() == 0
