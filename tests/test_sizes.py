@@ -2,10 +2,14 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
+from quillgraph.operators import graph as G
+from quillgraph.operators import graph_rounds as R
 from quillgraph.operators.scale import salted_join
 from quillgraph.operators.search import query_term_importance
+from quillgraph.plans import rounds
 
 
 def test_salted_copies_count_in_the_size(spark):
@@ -32,3 +36,19 @@ def test_runs_of_a_vocabulary_are_not_broadcast(spark):
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert re.search(r"SortMergeJoin \[run#\d+, _salt", plan)
     assert sorted(map(tuple, found.collect())) == [(1, "nation", 0.5), (1, "station", 0.0), (2, "station", 0.0), (2, "stone", 0.0)]
+
+
+def test_edges_read_more_than_once_are_written(spark):
+    """Ranks and degree filters start from a written table, not from the order lines each time."""
+    folder, seen = "/root/testdata/sf0.001", []
+    asked = {"pagerank": rounds.pagerank, "degree_filter": rounds.filter_graph, "weighted": rounds.weighted_pagerank}
+    for name, build in asked.items():
+        def stop(nodes, edges, *rest, **more):
+            seen.append(edges._jdf.queryExecution().sparkPlan().toString())
+            raise StopIteration
+
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(*((G, "degree_filter") if name == "degree_filter" else (R, "pagerank")), stop)
+            with pytest.raises(StopIteration):
+                build(spark, folder)
+    assert len(seen) == 3 and not any("lineitem" in plan for plan in seen)
