@@ -138,6 +138,25 @@ def test_svd_of_low_rank_and_none(spark):
     assert sigma == [] and vectors.isEmpty() and explained.isEmpty()
 
 
+def test_products_copy_a_factor_to_few_blocks(spark):
+    """1.2 million nodes of 110 components were cut into 60 x 60 blocks, and every row moved 60 times either way."""
+    assert X.parts(1_200_000, 110) <= 3 and X.parts(20, 5) == 8 and X.parts(1, 5) == X.parts(0, 5) == 1
+    rng = np.random.default_rng(11)
+    dense = rng.normal(size=(30, 25)) * (rng.random((30, 25)) < 0.3)
+    dense[:, 3] = 1.0  # a column in every row
+    cells = [(f"r{i:02}", int(j), float(dense[i, j])) for i, j in zip(*np.nonzero(dense))]
+    a = X.blocked(spark.createDataFrame(cells, "r string, c int, x double"), 4, 7)
+    factor = {True: rng.normal(size=(30, 4)), False: rng.normal(size=(25, 4))}
+    for transposed, own, other in ((False, a.r, a.c), (True, a.c, a.r)):
+        place = {n: int(str(n).strip("r")) for n in (r["name"] for r in other.names.collect())}
+        known = [(r["id"], factor[transposed][place[r["name"]]].tolist()) for r in other.names.collect()]
+        rows = X.times(a, spark.createDataFrame(known, "id bigint, vec array<double>"), 4, transposed).join(own.names, "id").collect()
+        assert len(own.sizes) > 1 and len(rows) == sum(own.sizes) == len({r["id"] for r in rows})
+        want = (dense.T if transposed else dense) @ factor[transposed]
+        for r in rows:
+            assert r["vec"] == pytest.approx(want[int(str(r["name"]).strip("r"))].tolist(), abs=1e-9)
+
+
 def test_triangles_are_joined_in_a_tree(spark, monkeypatch):
     monkeypatch.setattr(X, "FAN", 2)
     rng = np.random.default_rng(7)
