@@ -55,6 +55,34 @@ def test_closeness_and_rank_only_where_computed(spark, bridge):
     assert R.sampled_sources(nodes, 4).count() == 4 and R.sampled_sources(nodes, 100).count() == 6
 
 
+def test_path_counts_move_by_node_and_not_by_edge(spark, monkeypatch):
+    """A graph in two pieces, text ids, sources in groups, one of them without edges; against paths counted one by one."""
+    monkeypatch.setattr(R, "AT_ONCE", 6)
+    joined = []
+    monkeypatch.setattr(R.factors, "times", lambda *a, run=R.factors.times: joined.append(a[2]) or run(*a))
+    rng = random.Random(5)
+    pairs = [p for p in itertools.combinations(range(9), 2) if rng.random() < 0.35] + [(9, 10), (10, 11)]
+    name = "n{:02}".format
+    edges = spark.createDataFrame([(name(a), name(b), 1.0) for a, b in pairs], "src string, dst string, weight double")
+    nodes = spark.createDataFrame([(name(i),) for i in range(13)], "id string")
+    got = by_id(R.betweenness(nodes, G.adjacency(edges), nodes), "betweenness")
+    near = {i: {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in range(13)}
+
+    def paths(a, b):
+        front = [[a]]
+        while front and not any(p[-1] == b for p in front):
+            front = [p + [x] for p in front for x in near[p[-1]] if x not in p]
+        return [p for p in front if p[-1] == b]
+
+    want = dict.fromkeys(range(13), 0.0)
+    for a, b in itertools.permutations(range(13), 2):
+        found = paths(a, b)
+        for p in found:
+            for x in p[1:-1]:
+                want[x] += 1 / len(found) / (12 * 11)
+    assert got == {name(i): pytest.approx(want[i]) for i in want} and max(want.values()) > 0 and 2 < max(joined) < 13
+
+
 def test_distances_from_more_sources_than_bits(spark):
     chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(9)], "src bigint, dst bigint, weight double")
     found = R.distances(G.adjacency(chain), spark.range(200)).collect()
