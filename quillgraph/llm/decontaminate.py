@@ -148,14 +148,14 @@ def verified(item: str, text: str, near: list[int]) -> tuple[int, int, int] | No
 def standing(item: np.ndarray, text: np.ndarray, guess: int) -> int:
     """How many of the runs of ``item`` stand near their places in ``text``."""
     n, a = len(item), guess - WIDE
-    low, high = max(a, 0), min(a + n + 2 * WIDE, len(text))
-    if low >= high:
-        return 0
-    window = text[a:high]
-    if high - low < n + 2 * WIDE or a < 0:
+    if a < 0 or a + n + 2 * WIDE > len(text):
+        low, high = max(a, 0), min(a + n + 2 * WIDE, len(text))
+        if low >= high:
+            return 0
         window = np.zeros(n + 2 * WIDE, np.uint16)
         window[low - a:high - a] = text[low:high]
-    near = np.ndarray((2 * WIDE + 1, n), np.uint16, np.ascontiguousarray(window), strides=(2, 2)) == item
+        text, a = window, 0
+    near = np.ndarray((2 * WIDE + 1, n), np.uint16, text, 2 * a, (2, 2)) == item
     return int(np.count_nonzero(np.logical_or.reduce(near)))
 
 
@@ -201,9 +201,9 @@ def _meetings(kind: dict, data: np.ndarray, offsets: np.ndarray, lookup: Index,
     beside = np.where(np.diff(key, append=-1) == 1, np.append(count[1:], 0), 0)
     # A band that meets its neighbour: the place between them; one by itself: its own middle is near enough.
     good = np.flatnonzero(count + beside >= kind["least"])
-    for k in good.tolist():
-        pair, band = divmod(int(key[k]), span)
-        yield (*divmod(pair, n_items), band * BAND + BAND + base)
+    pair, band = np.divmod(key[good], span)
+    row, item = np.divmod(pair, n_items)
+    yield from zip(row.tolist(), item.tolist(), (band * BAND + BAND + base).tolist())
 
 
 def _search(index: dict, first_only: bool = False):

@@ -289,3 +289,14 @@ def test_decontamination_short_items(spark):
     rows = spark.createDataFrame([(1, "é it is ÜNDER\t24 chars?"), (2, "ünder"), (3, None), (4, "z" * 30)], "doc_id bigint, text string")
     assert {tuple(r) for r in decontaminate.leaks(rows, items).collect()} == {(1, 1, 0, 8, 22), (4, 5, 0, 0, 23)}
     assert {r["doc_id"] for r in decontaminate.keep_clean(rows, items).collect()} == {2, 3}
+
+
+def test_runs_are_counted_near_their_places_at_any_border():
+    rng = np.random.default_rng(3)
+    text, item = (rng.integers(1, 90, n).astype(np.uint16) for n in (300, 40))
+    for guess in range(-120, 420, 7):
+        want = 0
+        for i, run in enumerate(item):
+            near = range(max(guess + i - decontaminate.WIDE, 0), min(guess + i + decontaminate.WIDE + 1, 300))
+            want += any(text[k] == run for k in near)
+        assert decontaminate.standing(item, text, guess) == want
