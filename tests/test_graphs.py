@@ -55,6 +55,45 @@ def test_closeness_and_rank_only_where_computed(spark, bridge):
     assert R.sampled_sources(nodes, 4).count() == 4 and R.sampled_sources(nodes, 100).count() == 6
 
 
+def test_weighted_paths_move_by_node_and_not_by_edge(spark, monkeypatch):
+    """Pieces, text ids, equal and parallel lengths, groups of sources and blocks of nodes; against paths listed one by one."""
+    monkeypatch.setattr(R, "AT_ONCE", 5)
+    monkeypatch.setattr(R.factors, "AT_ONCE", 3)
+    joined = []
+    monkeypatch.setattr(R.factors, "least", lambda *a, run=R.factors.least: joined.append(a[2]) or run(*a))
+    rng = random.Random(8)
+    lines = [(a, b, rng.choice([0.1, 0.2, 0.3])) for a, b in itertools.combinations(range(8), 2) if rng.random() < 0.5]
+    lines += [(*lines[0][:2], lines[0][2]), (8, 9, 0.1), (9, 10, 2.5)]  # a line twice, and a piece of its own
+    name = "n{:02}".format
+    both = [(name(x), name(y), w) for a, b, w in lines for x, y in ((a, b), (b, a))]
+    links = spark.createDataFrame(both, "src string, dst string, weight double")
+    nodes = spark.createDataFrame([(name(i),) for i in range(12)], "id string")
+
+    def paths(a):
+        found, front = {}, [([a], 0.0)]
+        while front:
+            front = [([*p, y], d + w) for p, d in front for x, y, w in both if x == p[-1] and y not in p]
+            for p, d in front:
+                found.setdefault(p[-1], []).append((round(d, 9), p))
+        return {b: [p for d, p in every if d == min(every)[0]] for b, every in found.items()}, {b: min(every)[0] for b, every in found.items()}
+
+    want, far = dict.fromkeys(map(name, range(12)), 0.0), {}
+    for a in want:
+        short, length = paths(a)
+        far |= {(a, b): d for b, d in length.items()} | {(a, a): 0.0}
+        for every in short.values():
+            for p in every:
+                for between in p[1:-1]:
+                    want[between] += 1 / len(every) / (11 * 10)
+    got = by_id(R.weighted_betweenness(nodes, links, nodes), "betweenness")
+    assert got == pytest.approx(want, abs=1e-9) and max(want.values()) > 0
+    assert joined and max(joined) <= 8
+    dist = {(r["source"], r["id"]): r["dist"] for r in R.weighted_distances(links, nodes).collect()}
+    assert dist == pytest.approx(far)
+    still = links.withColumn("weight", F.when(F.col("weight") < 0.15, 0.0).otherwise(F.col("weight")))
+    assert R.weighted_distances(still, nodes).count() == len(far)  # lengths of zero end too
+
+
 def test_path_counts_move_by_node_and_not_by_edge(spark, monkeypatch):
     """A graph in two pieces, text ids, sources in groups, one of them without edges; against paths counted one by one."""
     monkeypatch.setattr(R, "AT_ONCE", 6)
