@@ -6,12 +6,15 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, distance
 from ..session import cut
-from .blocks import BLOCK, all_pairs, id_type, matrix
+from .blocks import BLOCK, id_type
+from .embeddings import matrix as flat_matrix
 from .index import cluster_sizes_of, with_labels
 from .scale import lowest_hashes, salted_join, top_k
 from .vectors import centroids
@@ -19,36 +22,135 @@ from .vectors import centroids
 DIGITS = 6
 
 
+HELD = 64 << 20     # bytes of vectors in a block
+BLOCKS = 16         # blocks that are worth copies of the points
+TILE = 4_000_000    # distances that are held at a time
+FEW = 64            # clusters of a block whose sums are added up by a product
+
+
 def silhouette(vectors: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row, ``silhouette``: Euclidean, over all points; null with fewer than two clusters.
+    """One row, ``silhouette``: Euclidean, over all points; null with fewer than two clusters."""
+    found = silhouettes(vectors, {"all": labels}, block)
+    return found.agg(F.max("silhouette").alias("silhouette"))
+
+
+def silhouettes(vectors: DataFrame, runs: dict[str, DataFrame], block: int = BLOCK) -> DataFrame:
+    """``(run, silhouette)`` of several clusterings, as :func:`silhouette`; runs without labels have no row.
 
-    Blocks of points meet blocks of points and hand on one sum of distances per
-    point and cluster, so distances never become rows.  The work grows with the
-    square of the points; ask for :func:`sampled_silhouette` to bound it.
+    Blocks of points meet once for all runs and both ways, and hand on one sum
+    of distances per point and cluster, so distances never become rows.  Points
+    are copied once a block: to few blocks, of at least ``block`` points, until a
+    block would hold more than ``HELD`` bytes.  The work grows with the square
+    of the points; ask for :func:`sampled_silhouette` to bound it.
     """
-    points = cut(vectors.join(labels, "id").select("id", "vec", F.col("cluster").cast("string").alias("cluster")))
-
-    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({
-                "id": a["id"].iloc[:0], "own": a["cluster"].iloc[:0], "cluster": b["cluster"].iloc[:0], "s": np.array([], dtype=float)})
-        mine, others = matrix(a), matrix(b)
-        squares = (mine * mine).sum(1)[:, None] + (others * others).sum(1)[None, :] - 2 * mine @ others.T
-        names, member = np.unique(b["cluster"].to_numpy().astype(str), return_inverse=True)
-        total = np.sqrt(np.maximum(squares, 0)) @ np.eye(len(names))[member]
-        return pd.DataFrame({
-            "id": np.repeat(a["id"].to_numpy(), len(names)), "own": np.repeat(a["cluster"].to_numpy(), len(names)),
-            "cluster": np.tile(names, len(a)), "s": total.ravel()})
-
-    parts = all_pairs(points, points, sums, f"id {id_type(points)}, own string, cluster string, s double", block)
-    far = parts.groupBy("id", "own", "cluster").agg(F.sum("s").alias("s"))
-    sizes = points.groupBy("cluster").agg(F.count("*").alias("n"))
+    points = vectors.select("id", "vec").where("vec IS NOT NULL")
+    names = list(runs)
+    for at, name in enumerate(names):
+        own = runs[name].select("id", F.col("cluster").cast("string").alias(f"c{at}"))
+        points = points.join(own, "id", "inner" if len(names) == 1 else "left")
+    points = points.select("id", "vec", F.array(*[f"c{at}" for at in range(len(names))]).alias("own"))
+    points = cut(points.where(F.exists("own", lambda c: c.isNotNull())))
+    size = points.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("dim")).first()
+    blocks = max(1, min(BLOCKS, math.ceil(size["n"] / block)), math.ceil(size["n"] * size["dim"] * 8 / HELD))
+    low, high = F.least("h", "o"), F.greatest("h", "o")
+    dealt = points.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.withColumn("pair", (F.expr("greatest(h, o) * (greatest(h, o) + 1) div 2") + low).cast("int")).withColumn("last", F.col("h") == high)
+    met = dealt.withColumn("own_block", F.col("h") == F.col("o")).select("pair", "last", "own_block", "id", "vec", "own")
+    parts = met.repartitionById(blocks * (blocks + 1) // 2, "pair").mapInArrow(
+        _sums, f"id {id_type(points)}, own array<string>, cells array<struct<run:int,cluster:string,s:double>>")
+    # Dealt by point while cells are packed; counted where they lie.
+    cells = parts.repartition("id").select("id", "own", F.explode("cells").alias("c")).select(
+        "id", F.col("c.run").alias("at"), F.get("own", F.col("c.run")).alias("own"), F.col("c.cluster").alias("cluster"), F.col("c.s").alias("s"))
+    far = cells.where("own IS NOT NULL").groupBy("id", "at", "own", "cluster").agg(F.sum("s").alias("s"))
+    sizes = points.select(F.posexplode("own").alias("at", "cluster")).where("cluster IS NOT NULL").groupBy("at", "cluster").agg(F.count("*").alias("n"))
     mine = F.col("own") == F.col("cluster")
-    each = salted_join(far, sizes, "cluster", "id").groupBy("id").agg(
+    each = salted_join(far, sizes, ["at", "cluster"], "id").groupBy("id", "at").agg(
         F.max(F.when(mine, F.col("s") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("inside"),
         F.max(F.when(mine, F.col("n"))).alias("n_own"), F.min(F.when(~mine, F.col("s") / F.col("n"))).alias("outside"))
     value = (F.col("outside") - F.col("inside")) / F.greatest("inside", "outside", F.lit(1e-300))
-    return each.agg(F.avg(F.when(F.col("outside").isNotNull(), F.when(F.col("n_own") > 1, value).otherwise(0.0))).alias("silhouette"))
+    named = F.get(F.array(*[F.lit(n) for n in names]), F.col("at")).alias("run")
+    return each.groupBy("at").agg(F.avg(F.when(F.col("outside").isNotNull(), F.when(F.col("n_own") > 1, value).otherwise(0.0))).alias("silhouette")).select(named, "silhouette")
+
+
+class _Block:
+    """Points of one block, with the clusters of each run that it holds."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.combine_chunks()
+        self.ids, self.own, n = rows.column("id"), rows.column("own"), rows.num_rows
+        self.vec = flat_matrix(rows.column("vec"), len(pc.list_flatten(rows.column("vec"))) // max(n, 1))
+        self.squares = (self.vec * self.vec).sum(1)
+        flat = pc.list_flatten(self.own)
+        runs = len(flat) // max(n, 1)
+        self.runs, self.names, self.member = [], [], []
+        for run in range(runs):
+            label = flat.take(pa.array(np.arange(n) * runs + run))
+            coded = pc.dictionary_encode(label.combine_chunks() if isinstance(label, pa.ChunkedArray) else label)
+            coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+            self.names += coded.dictionary.to_pylist()
+            self.runs += [run] * len(coded.dictionary)
+            self.member.append((pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False), len(coded.dictionary)))
+        self.few = len(self.names) <= FEW
+        if self.few:
+            self.hot = np.concatenate([(code[:, None] == np.arange(k)).astype(float) for code, k in self.member], axis=1) if n else np.zeros((0, 0))
+
+    def added(self, gaps: np.ndarray) -> np.ndarray:
+        """Columns of distances to the points of this block, added up by cluster."""
+        if self.few:
+            return gaps @ self.hot
+        out = []
+        for code, k in self.member:
+            order = np.argsort(code, kind="stable")
+            order = order[np.searchsorted(code[order], 0):]
+            if k:
+                out.append(np.add.reduceat(gaps[:, order], np.searchsorted(code[order], np.arange(k)), axis=1))
+        return np.concatenate(out, axis=1)
+
+    def rows(self, low: int, sums: np.ndarray, other: "_Block") -> pa.RecordBatch:
+        many, wide = sums.shape
+        column = pa.array(np.tile(np.arange(wide), many))
+        cells = pa.StructArray.from_arrays([
+            pa.array(other.runs, pa.int32()).take(column), pa.array(other.names, pa.string()).take(column), pa.array(sums.ravel(), pa.float64())], names=["run", "cluster", "s"])
+        one = lambda c: c.slice(low, many).combine_chunks()
+        return pa.RecordBatch.from_arrays([
+            one(self.ids), one(self.own), pa.ListArray.from_arrays(pa.array(np.arange(many + 1) * wide, pa.int32()), cells)], names=["id", "own", "cells"])
+
+
+def _toward(a: _Block, b: _Block, both: bool):
+    """Sums of the distances from the points of ``a`` to the clusters of ``b``, and with ``both`` the other way too."""
+    back = np.zeros((len(b.vec), len(a.names))) if both else None
+    step = max(1, min(2000, TILE // max(len(b.vec), 1)))
+    for low in range(0, len(a.vec), step):
+        some = slice(low, low + step)
+        gaps = a.squares[some, None] + b.squares[None, :] - 2 * a.vec[some] @ b.vec.T
+        np.sqrt(np.maximum(gaps, 0, out=gaps), out=gaps)
+        if a is b:
+            gaps[np.arange(len(gaps)), np.arange(low, low + len(gaps))] = 0.0
+        yield a.rows(low, b.added(gaps), b)
+        if both:
+            back += gaps.T @ a.hot[some]
+    if both:
+        for low in range(0, len(back), 2000):
+            yield b.rows(low, back[low:low + 2000], a)
+
+
+def _sums(batches):
+    held = {}
+    for batch in batches:
+        for pair in pc.unique(batch.column(0)).to_pylist():
+            held.setdefault(pair, []).append(batch.filter(pc.equal(batch.column(0), pair)))
+    for every in held.values():
+        rows = pa.Table.from_batches(every)
+        alone = rows.filter(rows.column("own_block"))
+        if alone.num_rows:
+            a = _Block(alone)
+            yield from _toward(a, a, False)
+            continue
+        a, b = _Block(rows.filter(pc.invert(rows.column("last")))), _Block(rows.filter(rows.column("last")))
+        if len(a.ids) and len(b.ids):
+            yield from _toward(a, b, a.few)
+            if not a.few:
+                yield from _toward(b, a, False)
 
 
 def sampled_silhouette(vectors: DataFrame, labels: DataFrame, sample: int, seed: int = 42) -> DataFrame:
@@ -94,10 +196,11 @@ def cluster_indices(vectors: DataFrame, labels: DataFrame) -> DataFrame:
 
 def compare_runs(vectors: DataFrame, runs: dict[str, DataFrame]) -> DataFrame:
     """``(run, clusters, silhouette, davies_bouldin, calinski_harabasz)``, best silhouette first."""
+    runs = {name: labels.where(F.col("cluster") != -1) for name, labels in runs.items()}
+    shape = cut(silhouettes(vectors, runs))  # a row a run
     out = None
-    for name, labels in runs.items():
-        kept = labels.where(F.col("cluster") != -1)
-        row = cluster_indices(vectors, kept).withColumn("silhouette", silhouette(vectors, kept).scalar())
+    for name, kept in runs.items():
+        row = cluster_indices(vectors, kept).withColumn("silhouette", shape.where(F.col("run") == name).agg(F.max("silhouette")).scalar())
         row = row.select(F.lit(name).alias("run"), "clusters", *[
             F.round(c, DIGITS).alias(c) for c in ("silhouette", "davies_bouldin", "calinski_harabasz")])
         out = row if out is None else out.unionByName(row)

@@ -148,6 +148,27 @@ def test_silhouette_of_all_points_in_blocks(spark):
     assert U.silhouette(points(spark, data), one).first()[0] is None
 
 
+def test_silhouettes_of_several_runs_meet_once(spark, monkeypatch):
+    """Noise, text ids, many clusters and few; points move once a block for all runs, and no block holds too much."""
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(60, 3))
+    runs = {"few": np.arange(60) % 3, "many": np.arange(60) // 2, "noise": np.where(np.arange(60) < 20, -1, np.arange(60) % 4), "one": np.zeros(60, int)}
+    rows = named(points(spark, data))
+    tables = {n: named(spark.createDataFrame([(i, int(c)) for i, c in enumerate(label)], "id bigint, cluster int")) for n, label in runs.items()}
+    for few, held in ((64, 64 << 20), (5, 300)):
+        monkeypatch.setattr(U, "FEW", few)
+        monkeypatch.setattr(U, "HELD", held)
+        dealt, written = [], U.cut
+        monkeypatch.setattr(U, "cut", lambda df: dealt.append(df) or written(df))
+        got = {r["run"]: r["silhouette"] for r in U.compare_runs(rows, tables).collect()}
+        monkeypatch.setattr(U, "cut", written)
+        assert len(dealt) == 2  # the points with the labels of all runs, and a row a run
+        for name, label in runs.items():
+            kept = label >= 0
+            want = None if name == "one" else pytest.approx(brute_silhouette(data[kept], label[kept]), abs=2e-6)
+            assert got[name] == want, name
+
+
 def test_models_split_well_separated_points(spark):
     data = np.concatenate([np.random.default_rng(i).normal(size=(20, 3)) * 0.1 + c for i, c in enumerate(([5, 0, 0], [0, 5, 0]))])
     rows = points(spark, data)
