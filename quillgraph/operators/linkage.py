@@ -40,6 +40,10 @@ def _shortest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     found = pd.DataFrame({
         "component": a["component"].to_numpy()[i], "d": np.sqrt(((m[i] - n[j]) ** 2).sum(axis=1)),  # the same from either end
         "lo": np.where(swap, other, ids), "hi": np.where(swap, ids, other)})
+    return _best(found)
+
+
+def _best(found: pd.DataFrame) -> pd.DataFrame:
     return found.sort_values(["component", "d", "lo", "hi"]).drop_duplicates("component")
 
 
@@ -62,7 +66,7 @@ def spanning_forest(vectors: DataFrame, size: int = B.CELL) -> DataFrame:
     while labels.select("component").distinct().limit(2).count() > 1:
         rows = cut(cells.rows.select("id", "vec", "cell").join(labels, "id"))
         own = cells.leaves.select(F.col("id").alias("a"), F.col("id").alias("b"))
-        inside = cut(shortest(B.meet(cells, rows, rows, own, _shortest, schema, size)))
+        inside = cut(shortest(B.meet(cells, rows, rows, own, _shortest, schema, size, _best)))
         # How far a cell has to look: as far as the worst component among its points.
         known = rows.select("component", "cell").distinct().join(inside.select("component", F.col("e.d").alias("d")), "component", "left")
         known = known.groupBy("cell").agg(F.max(F.coalesce("d", F.lit(float("inf")))).alias("most"), F.count("*").alias("kinds"), F.min("component").alias("one"))
@@ -71,7 +75,7 @@ def spanning_forest(vectors: DataFrame, size: int = B.CELL) -> DataFrame:
         whole = known.where("kinds = 1")  # two cells of one and the same component have nothing to tell
         pairs = pairs.join(whole.select(F.col("cell").alias("a"), F.col("one").alias("one_a")), "a", "left").join(
             whole.select(F.col("cell").alias("b"), F.col("one").alias("one_b")), "b", "left").where("one_a IS NULL OR one_b IS NULL OR one_a <> one_b")
-        outside = B.meet(cells, rows, rows, pairs, _shortest, schema, size)
+        outside = B.meet(cells, rows, rows, pairs, _shortest, schema, size, _best)
         every = inside.select("component", "e.*").unionByName(outside)
         edges = cut(shortest(every).select("e.*").distinct())
         forest.append(edges.select(F.col("lo").alias("src"), F.col("hi").alias("dst"), F.col("d").alias("height")))

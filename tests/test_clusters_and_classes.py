@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph.operators import cells as B
 from quillgraph.operators import classify as M
 from quillgraph.operators import clustering as C
 from quillgraph.operators import quality as U
@@ -98,6 +99,26 @@ def test_dbscan_with_wide_reach(spark, eps, block):
     assert [got[i] for i in range(len(data))] == label.tolist() and got[500] == -1
 
 
+@pytest.mark.parametrize("held", [64 << 20, 500])
+def test_cells_meet_in_groups(spark, monkeypatch, held):
+    """Where a cell meets most others, a point moves and is counted once a group, not once a cell; same clusters, text ids too."""
+    monkeypatch.setattr(B, "GROUPS", 2)
+    monkeypatch.setattr(B, "HELD", held)
+    monkeypatch.setattr(B, "FOUND", 10)
+    rng = np.random.default_rng(7)
+    data = np.concatenate([rng.normal(size=(3, 5)).repeat(30, axis=0) + 0.3 * rng.normal(size=(90, 5)), rng.normal(size=(20, 5))])
+    met, before = [], B.meet
+    monkeypatch.setattr(B, "meet", lambda *a: met.append(C.cut(before(*a))) or met[-1])
+    for eps in (0.05, 0.6):
+        got = {r["id"]: r["cluster"] for r in C.dbscan(points(spark, data), eps, 4, block=6).collect()}
+        assert [got[i] for i in range(len(data))] == brute_dbscan(data, eps, 4)
+    groups = 2 if held > 500 else 9  # 110 points of 40 bytes in groups of 500
+    assert met[3].count() <= len(data) * groups  # counts at the wider reach
+    want = brute_dbscan(data, 0.6, 4)
+    text = {r["id"]: r["cluster"] for r in C.dbscan(named(points(spark, data)), 0.6, 4, block=6).collect()}
+    assert [text[f"n{i:04d}"] for i in range(len(data))] == ["-1" if c < 0 else f"n{c:04d}" for c in want]
+
+
 def test_nearest_in_several_blocks(spark):
     rng = np.random.default_rng(1)
     data, ask = rng.normal(size=(200, 4)), rng.normal(size=(30, 4))
