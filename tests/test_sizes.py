@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators import graph as G
 from quillgraph.operators import graph_rounds as R
+from quillgraph.operators import quality, scale
 from quillgraph.operators.scale import salted_join
 from quillgraph.operators.search import query_term_importance
 from quillgraph.plans import rounds
@@ -52,3 +53,20 @@ def test_edges_read_more_than_once_are_written(spark):
             with pytest.raises(StopIteration):
                 build(spark, folder)
     assert len(seen) == 3 and not any("lineitem" in plan for plan in seen)
+
+
+def test_centres_are_copied_for_heavy_terms_only(spark, monkeypatch):
+    """The rows of a term that most documents have are dealt over salts; a term of few has one copy of its centre."""
+    monkeypatch.setattr(quality, "heavy_of", lambda *a, run=quality.heavy_of: run(*a, 20))
+    rows = [(d, t, 0.6 if t == "all" else 0.8) for d in range(60) for t in ("all", f"t{d}")]
+    index = spark.createDataFrame(rows, "doc_id bigint, term string, w double")
+    labels = spark.createDataFrame([(d, 0) for d in range(60)], "doc_id bigint, cluster int")
+    met, before = [], scale.Dealt.meet
+    monkeypatch.setattr(scale.Dealt, "meet", lambda self, small, *a: met.append((self, small)) or before(self, small, *a))
+    got = [tuple(r) for r in quality.central_documents(index, labels, 2).orderBy("rank").collect()]
+    length = ((60 * 0.6) ** 2 + 60 * 0.8 ** 2) ** 0.5
+    want = round((0.6 * 36 + 0.8 * 0.8) / length, 6)
+    assert got == [(0, 1, 0, want), (0, 2, 1, want)]
+    dealt, centre = met[0]
+    assert centre.count() == 61 and dealt.heavy.select("term", "_salts").collect() == [("all", 3)]
+    assert dealt.rows.groupBy("term", "_salt").count().where("count > 40").isEmpty()
