@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.operators import components as N
 from quillgraph.operators import graph as G
 from quillgraph.operators import graph_rounds as R
+from quillgraph.plans import rounds
 
 PAIRS = [(1, 2), (1, 3), (2, 3), (3, 4), (4, 5), (4, 6), (5, 6)]
 
@@ -94,6 +95,23 @@ def test_weighted_paths_move_by_node_and_not_by_edge(spark, monkeypatch):
     assert R.weighted_distances(still, nodes).count() == len(far)  # lengths of zero end too
 
 
+def test_weighted_betweenness_starts_from_every_part(spark, monkeypatch):
+    """All parts are sources, in groups side by side; a turn of one group after the other gives the same."""
+    asked = []
+    monkeypatch.setattr(R, "weighted_betweenness", lambda nodes, links, sources, run=R.weighted_betweenness: asked.append(
+        (nodes.count(), sources.count())) or run(nodes, links, sources))
+    monkeypatch.setattr(R, "AT_ONCE", 20)
+    side = by_id(rounds.weighted_betweenness(spark, "/root/testdata/sf0.001"), "betweenness")
+    n = spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+    assert asked == [(n, n)] and len(side) == n > R.AT_ONCE
+    turns = []
+    monkeypatch.setattr(R, "HELD", 1)
+    monkeypatch.setattr(R, "_weighted_dependencies", lambda *a, run=R._weighted_dependencies: turns.append(a[2]) or run(*a))
+    monkeypatch.setattr(R, "AT_ONCE", 80)
+    assert by_id(rounds.weighted_betweenness(spark, "/root/testdata/sf0.001"), "betweenness") == pytest.approx(side)
+    assert len(turns) == -(-n // 80)
+
+
 def test_path_counts_move_by_node_and_not_by_edge(spark, monkeypatch):
     """A graph in two pieces, text ids, sources in groups, one of them without edges; against paths counted one by one."""
     monkeypatch.setattr(R, "AT_ONCE", 6)
