@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tokenizers
 from llm.conftest import FOLDER
@@ -149,6 +150,53 @@ def test_network_carries_its_state_and_learns():
     assert lm.text_logs(better, np.concatenate(texts), cuts).sum() > 0.5 * fast.sum()
 
 
+def test_every_text_is_learned_and_every_word_has_a_class(spark, docs, monkeypatch):
+    """The network reads each learned text once; a word without a softmax of its own depends on the words before it."""
+    monkeypatch.setattr(lm, "FREQUENT", 3000)
+    read, nets = spark.sparkContext.accumulator(0), []
+
+    def window(net, h, symbols, *rest, run=lm._learn_window):
+        read.add(symbols.size)
+        return run(net, h, symbols, *rest)
+
+    monkeypatch.setattr(lm, "_learn_window", window)
+    monkeypatch.setattr(lm, "_trained", lambda *a, run=lm._trained: nets.append((a, run(*a))) or nets[0][1])
+    turns = [(i, "before common " + " ".join(f"seldom{(i * 7 + j * 3) % 4000}" for j in range(40)), None, None, None) for i in range(300)]
+    rows = lm.score(docs.unionByName(spark.createDataFrame(turns, docs.schema)), F.col("doc_id") >= 0).toPandas()
+    assert read.value == rows.train_tokens[0] == rows.n_tokens.sum()
+    (_, words, _, _), net = nets[0]
+    listed, place = words.value
+    assert len(listed) == 3000 and (place[:1024] == np.arange(1024)).all() and set(place[1024:-1]) == set(range(-lm.RANKED, 0))
+    every = np.array([-1 - k for k in range(lm.RANKED + lm.HASHED)])
+    states = np.stack([lm._step(net, np.zeros((1, lm.HIDDEN), np.float32), np.array([x]))[0][0] for x in (1, 2)])
+    logs = [lm.output_logs(net, np.repeat(h[None], len(every), axis=0), every) for h in states]
+    assert (np.abs(logs[0] - logs[1]) > 1e-6).all()
+
+
+def test_word_shares_add_up(spark, monkeypatch):
+    """What may come first in a text, with one word that was never learned for each class by hash, has a probability of one."""
+    nets = []
+    monkeypatch.setattr(lm, "FREQUENT", 1200)
+    monkeypatch.setattr(lm, "_trained", lambda *a, run=lm._trained: nets.append((a[1].value, run(*a))) or nets[0][1])
+    hashes = lambda words: np.concatenate([own[:-1] for _, own, _ in lm._tokens(pa.array([" ".join(words)]), Hasher())])
+    words, strange = [f"w{i}" for i in range(1500)], [f"strange{i}" for i in range(500)]
+    _, one = np.unique(lm._bucket(hashes(strange)), return_index=True)
+    words_asked = words + [strange[i] for i in one]
+    taught = [(-1, " ".join(words))] + [(-2 - i, "w1 w2") for i in range(5)]
+    some = spark.createDataFrame(taught + list(enumerate(words_asked)), "doc_id long, text string")
+    score = lm.score(some, F.col("doc_id") < 0).toPandas().set_index("doc_id").score
+    (listed, place), net = nets[0]
+    every = np.append(hashes(words_asked), lm.END)
+    targets = lm._targets(every, Index(listed)(every), place)
+    end = targets[-1]
+    assert end >= 0 and len(one) == lm.HASHED and set(targets[targets < 0]) == set(range(-lm.RANKED - lm.HASHED, 0))
+    start = lm._step(net, np.zeros((1, lm.HIDDEN), np.float32), np.array([0]))[0]
+    after = lm._step(net, np.repeat(start, len(words_asked), axis=0), lm._symbols(net, targets[:-1]))[0]
+    ends = lm.output_logs(net, after, np.full(len(after), end))
+    total = np.exp(score.loc[range(len(words_asked))].to_numpy() * np.log(10) - ends).sum()
+    assert total + np.exp(lm.output_logs(net, start, np.array([end])))[0] == pytest.approx(1, abs=1e-4)
+
+
 def test_network_gradients():
     rng = np.random.default_rng(2)
     net = {k: v.astype(np.float64) for k, v in lm.start_network(np.array([5, 4, 3, 2, 6])).items()}
