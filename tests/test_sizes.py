@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph.operators import components, factors
 from quillgraph.operators import graph as G
 from quillgraph.operators import graph_rounds as R
 from quillgraph.operators import quality, scale
@@ -29,6 +30,22 @@ def test_salted_copies_count_in_the_size(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_ids_are_as_large_as_they_count(spark):
+    """Numbers of nodes and stars of components, packed below the limit of a broadcast, are not taken for small tables."""
+    edges = spark.range(40_000).select((F.col("id") % 20_000 + 1).alias("r"), (F.col("id") % 19_997 + 20_001).alias("c"), F.lit(1.0).alias("x"))
+    names = factors.blocked(edges, 4, square=True).r.names
+    found = components.components(names.select(F.col("name").alias("id")), edges.select(F.col("r").alias("src"), F.col("c").alias("dst")))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "400k")  # of 39,997 rows with 16 bytes each
+    try:
+        big = spark.range(1_000_000).select((F.col("id") % 20_000 + 1).alias("name"))
+        for joined in (big.repartition(4).join(names, "name"), found):
+            assert "BroadcastHashJoin" not in joined._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert found.count() == names.count() == 39_997
+
+
 def test_runs_of_a_vocabulary_are_not_broadcast(spark):
     vocab = spark.createDataFrame([("station",), ("nation",), ("stone",)], "term string")
     words = spark.createDataFrame([(1, "tion"), (2, "st"), (2, "zebra")], "query_id long, word string")
