@@ -11,7 +11,7 @@ from quillgraph.operators import graph_rounds as R
 from quillgraph.operators import quality, scale
 from quillgraph.operators.scale import salted_join
 from quillgraph.operators.search import query_term_importance
-from quillgraph.plans import rounds
+from quillgraph.plans import graphs, rounds
 
 
 def test_salted_copies_count_in_the_size(spark):
@@ -46,6 +46,16 @@ def test_ids_are_as_large_as_they_count(spark):
     assert found.count() == names.count() == 39_997
 
 
+def test_tables_of_a_row_a_node_are_merged(spark):
+    """Nodes that Spark takes for small, because their file is, meet degrees, references and components by merging."""
+    folder = "/root/testdata/sf0.001"
+    nodes, edges = rounds.part_nodes(spark, folder), scale.cut(rounds.citation_edges(spark, folder))
+    kept = G.degree_filter(nodes, edges, 30, 60).nodes
+    for table in (kept, G.degrees(nodes, edges).where("degree > 1"), graphs.part_articles(spark, folder).select("id", "references"),
+                  components.components(nodes, edges)):
+        assert "BroadcastHashJoin" not in table._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_runs_of_a_vocabulary_are_not_broadcast(spark):
     vocab = spark.createDataFrame([("station",), ("nation",), ("stone",)], "term string")
     words = spark.createDataFrame([(1, "tion"), (2, "st"), (2, "zebra")], "query_id long, word string")
